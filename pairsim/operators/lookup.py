@@ -13,6 +13,18 @@ HOT_SHARE = 0.001
 SALTS = 64
 
 
+def spread_by_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Hash-partition rows by key for work that stays inside a row.
+
+    The partition count is explicit: adaptive coalescing looks at bytes and would
+    put a small but expensive table into one task. Later groupings on the key
+    (or more columns) need no further shuffle.
+    """
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(configured, 4 * spark.sparkContext.defaultParallelism), *key)
+
+
 def fits_broadcast(
     df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS
 ) -> bool:

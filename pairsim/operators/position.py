@@ -13,8 +13,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairsim.functions.seeded import draw_hash, hash_to_unit, let
 
@@ -29,6 +30,12 @@ def _key_struct(keys: Sequence[str | Column]) -> Column:
     return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
 
 
+def _literal(key: Row, dtype: T.StructType) -> Column:
+    return F.struct(
+        *[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(key, dtype.fields)]
+    )
+
+
 def hash_bucket(digest: Column, buckets: int = HASH_BUCKETS) -> Column:
     """Equal-width bucket of a hex digest; grows with the digest's order."""
     return F.floor(hash_to_unit(digest) * buckets).cast("int")
@@ -53,20 +60,14 @@ def range_bucket(df: DataFrame, keys: Sequence[str], buckets: int | None = None)
     if not bounds:
         return F.lit(0)
     dtype = key_df.schema["key"].dataType
-    field_types = [f.dataType for f in dtype.fields]
-
-    def literal(row) -> Column:
-        return F.struct(
-            *[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(row, field_types))]
-        )
 
     def at_or_below(arr: Column, key: Column) -> Column:
         return F.size(F.filter(arr, lambda b: b <= key))
 
     width = max(8, math.isqrt(len(bounds)))
     chunks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    coarse = F.array(*[literal(c[-1]) for c in chunks])
-    fine = F.array(*[F.array(*[literal(b) for b in c]) for c in chunks])
+    coarse = F.array(*[_literal(c[-1], dtype) for c in chunks])
+    fine = F.array(*[F.array(*[_literal(b, dtype) for b in c]) for c in chunks])
 
     def locate(key: Column) -> Column:
         # Whole chunks below the key first, then the bounds inside one chunk.
@@ -131,51 +132,45 @@ def shuffle_rows(
     return _ranked(hashed, ["_h", *key], [], name).drop("_h")
 
 
-def cut_keys(
+def before_cuts(
     df: DataFrame,
     bucket: Column,
     order: Sequence[Column],
-    cuts: Sequence[Callable[[Column], Column]],
-) -> Column:
-    """Struct of the keys at positions ``cuts(n)`` as a scalar subquery.
+    cuts: Sequence[Callable[[int], int]],
+) -> list[Column]:
+    """For each cut, a condition that holds for exactly the first ``cut(n)`` rows.
 
-    Field ``c{i}`` is the first key at or after position ``cuts[i](n)``, NULL
-    when the position is past the end. Only the buckets holding a cut are
-    sorted, so comparing rows with the keys replaces numbering all rows.
+    The driver gets the count of each bucket (at most ``MAX_BUCKETS`` numbers)
+    and then one key per cut; only the buckets holding a cut are sorted.
+    Comparing rows with those keys replaces numbering, sorting or moving them.
     """
-    keyed = df.select(_key_struct(order).alias("_key"), bucket.alias("_bucket"))
-    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy().orderBy("_bucket")
-    total = F.sum("_n").over(Window.partitionBy())
-    placed = counts.select(
-        "_bucket",
-        F.sum("_n").over(ordered).alias("_after"),
-        (F.sum("_n").over(ordered) - F.col("_n")).alias("_before"),
-        F.array(
-            *[F.struct(F.lit(i).alias("cut"), c(total).alias("at")) for i, c in enumerate(cuts)]
-        ).alias("_cuts"),
-    )
-    inside = (
-        placed.select("_bucket", "_before", "_after", F.inline("_cuts"))
-        .where((F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_after")))
-        .select("_bucket", "cut", (F.col("at") - F.col("_before") + 1).alias("_rank"))
-        .groupBy("_bucket")
-        .agg(F.collect_list(F.struct("_rank", "cut")).alias("_want"))
-    )
-    # At most one row per cut.
-    held = keyed.join(F.broadcast(inside), "_bucket")
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
-    hits = (
-        held.withColumn("_r", rank)
-        .select("_key", "_r", F.inline("_want"))
-        .where(F.col("_r") == F.col("_rank"))
-    )
-    found = hits.agg(
-        F.struct(
-            *[F.max(F.when(F.col("cut") == i, F.col("_key"))).alias(f"c{i}") for i in range(len(cuts))]
-        ).alias("found")
-    )
-    return found.scalar()
+    keyed = df.select(bucket.alias("bucket"), _key_struct(order).alias("key"))
+    counts = sorted(keyed.groupBy("bucket").agg(F.count("*").alias("n")).collect())
+    total = sum(c.n for c in counts)
+    wanted: dict[int, tuple[int, int]] = {}
+    for i, cut in enumerate(cuts):
+        rest = cut(total)
+        for c in counts:
+            if rest < c.n:
+                wanted[i] = (c.bucket, rest + 1)
+                break
+            rest -= c.n
+    found: dict[tuple[int, int], Row] = {}
+    if wanted:
+        held = keyed.where(F.col("bucket").isin([b for b, _ in wanted.values()]))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
+        hit = F.struct("bucket", "rank").isin(
+            [F.struct(F.lit(b).cast("int"), F.lit(r).cast("int")) for b, r in wanted.values()]
+        )
+        rows = held.withColumn("rank", rank).where(hit).collect()
+        found = {(r.bucket, r.rank): r.key for r in rows}
+    dtype = keyed.schema["key"].dataType
+    key = _key_struct(order)
+    # A cut past the last row takes all rows.
+    return [
+        key < _literal(found[wanted[i]], dtype) if i in wanted else F.lit(True)
+        for i in range(len(cuts))
+    ]
 
 
 def split_fractions(
@@ -189,20 +184,14 @@ def split_fractions(
 
     Rows are compared with the two boundary keys; the table is not shuffled.
     """
-    found = cut_keys(
+    first, second = before_cuts(
         df,
         range_bucket(df, keys, buckets),
         [F.col(k) for k in keys],
-        [lambda n, c=c: (n * F.lit(c)).cast("long") for c in cuts],
+        [lambda n, c=c: int(n * c) for c in cuts],
     )
-    key = _key_struct(keys)
-
-    def before(i: int) -> Column:
-        bound = found.getField(f"c{i}")
-        return bound.isNull() | (key < bound)
-
     return df.withColumn(
-        "split", F.when(before(0), names[0]).when(before(1), names[1]).otherwise(names[2])
+        "split", F.when(first, names[0]).when(second, names[1]).otherwise(names[2])
     )
 
 
