@@ -161,4 +161,5 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     texts = F.struct(F.col("sentence_1").alias("a"), F.col("sentence_2").alias("b"))
-    return cleaned.select("id", "doc_id", "line_no", "source", "lang", F.inline(F.array(let(texts, both))))
+    scored = cleaned.select("id", "doc_id", "line_no", "source", "lang", let(texts, both).alias("s"))
+    return scored.select("*", "s.label", "s.prediction").drop("s")
