@@ -1,0 +1,167 @@
+"""Word edits against a plain Python version that uses the same hashed draws."""
+
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairsim.operators import eda, synonyms
+from pairsim.schema import PAIR
+
+DICTIONARY = {
+    "a": ["b", "two words"],
+    "b": ["c"],
+    "c": ["a", "d"],
+    "d": ["e"],
+    "e": ["x y"],
+    "f": ["f"],
+    "g": ["nowhere"],
+}
+
+
+def digest(*parts):
+    return hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()
+
+
+def unit(*parts):
+    return int(digest(*parts)[:8], 16) / 2**32
+
+
+def pick(size, *parts):
+    return int(unit(*parts) * size)
+
+
+def py_replace(ws, n, *d):
+    known = sorted({w for w in ws if w in DICTIONARY}, key=lambda w: (digest(*d, "order", w), w))
+    out = list(ws)
+    for w in known[:n]:
+        syn = DICTIONARY[w]
+        z = syn[pick(len(syn), *d, "pick", w)]
+        out = [z if x == w else x for x in out]
+    return " ".join(out)
+
+
+def py_insert(ws, n, *d):
+    out = list(ws)
+    for i in range(n):
+        if not out:
+            break
+        for t in range(9):
+            w = out[pick(len(out), *d, "word", i, t)]
+            if w in DICTIONARY:
+                out.insert(pick(len(out), *d, "place", i), DICTIONARY[w][0])
+                break
+    return " ".join(out)
+
+
+def py_swap(ws, n, *d):
+    out = list(ws)
+    if len(out) < 2:
+        return " ".join(out)
+    for i in range(n):
+        a = pick(len(out), *d, "first", i)
+        b = next((x for x in (pick(len(out), *d, "second", i, t) for t in range(3)) if x != a), None)
+        if b is not None:
+            out[a], out[b] = out[b], out[a]
+    return " ".join(out)
+
+
+def py_delete(ws, n, *d):
+    if len(ws) < 2:
+        return " ".join(ws)
+    kept = [w for i, w in enumerate(ws) if unit(*d, i) > 0.1]
+    return " ".join(kept or [ws[pick(len(ws), *d, "only")]])
+
+
+PY = {"replace": py_replace, "insert": py_insert, "swap": py_swap, "delete": py_delete}
+
+
+def sentences():
+    r = random.Random(3)
+    letters = "abcdefghijk"
+    fixed = ["", "   ", "a", "k", "a a a a", "a  b", "f f", "g"]
+    made = [" ".join(r.choice(letters) for _ in range(r.randint(0, 75))) for _ in range(250)]
+    long = " ".join(r.choice(letters) for _ in range(400))
+    return [(f"s{i}", s) for i, s in enumerate([*fixed, *made, long])]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return spark.createDataFrame(list(DICTIONARY.items()), "word string, synonyms array<string>").cache()
+
+
+@pytest.mark.parametrize("edit", eda.EDITS)
+def test_edit_against_python(spark, table, edit):
+    rows = sentences()
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = eda.edit_sentences(df, edit, ["id"], "text", 11, table, variants=3).collect()
+    assert len(got) == 3 * len(rows)
+    texts = dict(rows)
+    for r in got:
+        ws = [w for w in texts[r.id].split(" ") if w]
+        want = PY[edit](ws, max(1, int(0.1 * len(ws))), 11, r.id, r.edit_variant, edit)
+        assert r.augmented == want, (r.id, texts[r.id])
+
+
+def test_deletion_keeps_order_and_swap_permutes(spark):
+    df = spark.createDataFrame(sentences(), "id string, text string")
+    for r in eda.edit_sentences(df, "delete", ["id"], "text", 5).collect():
+        it = iter([w for w in r.text.split(" ") if w])
+        assert all(w in it for w in r.augmented.split(" ") if w)
+    for r in eda.edit_sentences(df, "swap", ["id"], "text", 5).collect():
+        assert sorted(r.augmented.split()) == sorted(r.text.split())
+
+
+@pytest.mark.parametrize("num_aug,rows", [(9, 10), (3, 4), (1, 2), (20, 21)])
+def test_output_count(spark, table, num_aug, rows):
+    text = "부스트캠프 너무 힘들어요 잠이나 푹 자고 싶어요 방학 없나요"
+    df = spark.createDataFrame([("x", text), ("y", "")], "id string, text string")
+    out = eda.eda_sentence(df, table, ["id"], "text", 777, num_aug).collect()
+    assert len(out) == 2 * rows
+    assert [r.augmented for r in out if r.aug == rows - 1 and r.id == "x"] == [text]
+
+
+def test_share_of_candidates(spark, table):
+    df = spark.createDataFrame([(f"i{i}", "a b c k") for i in range(400)], "id string, text string")
+    n = eda.eda_sentence(df, table, ["id"], "text", 777, 0.5).count()
+    # Every sentence itself and an eighth of four candidates.
+    assert 400 + 140 < n < 400 + 270
+
+
+def test_pairs(spark, table):
+    rows = [(f"r{i}", "s", "a b c d", "k  a", float(i % 6), 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, PAIR)
+    out = eda.eda_pairs(df, table, ["id"], 1)
+    assert out.count() == 100
+    same = out.where("sentence_1 = 'a b c d' and sentence_2 = 'k  a' and aug in (-1, 3)")
+    assert same.count() == 40
+    assert out.groupBy("id").agg(F.countDistinct("label").alias("n")).where("n <> 1").count() == 0
+
+
+def test_pairs_with_null_labels_stay(spark, table):
+    df = spark.createDataFrame([("r", None, "a", "b", None, None)], PAIR)
+    assert eda.eda_pairs(df, table, ["id"], 1).count() == 5
+
+
+def test_dictionary_join_beyond_the_bound(spark, table):
+    df = spark.createDataFrame(sentences(), "id string, text string")
+    small, large = (
+        sorted(map(tuple, eda.gather_words(df, table, ["id"], ["text"], broadcast=b).select("id", F.to_json("text_ws")).collect()))
+        for b in (True, False)
+    )
+    assert small == large
+
+
+def test_chains(spark, table):
+    got = {r.word: (r.chain, r.loop) for r in synonyms.first_synonym_chains(table).collect()}
+    assert got["a"] == (["b", "c", "a"], 0)
+    assert got["d"] == (["e", "x y"], None)
+    assert got["f"] == (["f"], 0)
+    assert got["g"] == (["nowhere"], None)
+
+
+def test_one_shuffle_of_the_sentences(spark, table):
+    df = spark.createDataFrame(sentences(), "id string, text string")
+    plan = eda.eda_sentence(df, table, ["id"], "text", 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan

@@ -1,0 +1,78 @@
+import pytest
+from pyspark.sql import functions as F
+
+from pairsim.functions.text import clean
+from pairsim.schema import PAIR, UNLABELLED
+from pairsim.sources import pairs as io
+from pairsim.sources import scratch, tables
+from pairsim.streaming import scoring
+
+ROWS = [
+    ("1", "s", 'a "quoted", text', "two\nlines", 1.5, 0.0),
+    ("2", "s", " spaces ", "NA", None, None),
+    ("3", "s", "back\\slash", 'ends with "', 0.0, 1.0),
+]
+
+
+def test_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, PAIR)
+    io.write_csv(df, str(tmp_path / "p"))
+    assert sorted(map(tuple, io.read_pairs(spark, str(tmp_path / "p")).collect())) == ROWS
+
+
+def test_hand_written_csv(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('id,source,sentence_1,sentence_2,label,binary-label\n1,s,"a, ""b""","c\nd",2.5,0\n2,s,,x,1,0\n3,s,NA,y,0,0\n')
+    got = sorted(map(tuple, io.read_pairs(spark, str(path)).collect()))
+    assert got == [("1", "s", 'a, "b"', "c\nd", 2.5, 0.0), ("3", "s", "NA", "y", 0.0, 0.0)]
+    raw = io.read_table(spark, str(path), PAIR)
+    assert tuple(io.null_text_count(raw).first()) == (2, 1)
+
+
+def test_parquet_and_many_paths(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, PAIR)
+    for n in ("a.parquet", "b.parquet"):
+        df.write.parquet(str(tmp_path / n))
+    assert io.read_pairs(spark, [str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")]).count() == 6
+    assert io.read_unlabelled(spark, str(tmp_path / "a.parquet")).columns == UNLABELLED.names
+
+
+def test_indexed(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, PAIR).repartition(3)
+    io.write_indexed(df, str(tmp_path / "i"), ["id"])
+    back = io.read_indexed(spark, str(tmp_path / "i"), PAIR)
+    assert sorted((r["index"], r.id) for r in back.collect()) == [(0, "1"), (1, "2"), (2, "3")]
+
+
+def test_nested_synonyms(spark, tmp_path):
+    path = tmp_path / "syn.json"
+    path.write_text('{"word": "a", "synonyms": [["b", "c"], [], ["d e"]]}\n')
+    assert [tuple(r) for r in tables.load_synonyms(spark, str(path)).collect()] == [("a", ["b", "c", "d e"])]
+
+
+def test_metric_log_appends(spark, tmp_path):
+    rows = spark.createDataFrame([("r", 0, "train_loss", 0.5)], "run_id string, epoch long, metric string, value double")
+    for _ in range(2):
+        tables.append_metrics(rows, str(tmp_path / "log"))
+    assert tables.read_metrics(spark, str(tmp_path / "log")).count() == 2
+
+
+def test_scratch_follows_the_session_setting(spark, monkeypatch):
+    root = scratch.scratch_root(spark)
+    named = spark.conf.get(scratch.SETTING, None)
+    assert root == (named.rstrip("/") if named else spark.sparkContext.getCheckpointDir())
+    assert scratch.scratch_path(spark, "x").startswith(f"{root}/pairsim/x-")
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    df = spark.createDataFrame([r[:4] for r in ROWS], UNLABELLED)
+    io.write_csv(df, str(tmp_path / "in"))
+
+    def score(d):
+        return d.withColumn("prediction", F.length("sentence_1") / 3.0)
+
+    stream = scoring.stream_targets(scoring.stream_unlabelled(spark, str(tmp_path / "in")), score)
+    scoring.write_targets(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.id: r.target for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got.keys() == {"1", "2", "3"} and got["2"] == pytest.approx(2.7)
+    assert df.select(clean(F.col("sentence_1"))).count() == 3
