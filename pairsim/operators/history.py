@@ -15,12 +15,9 @@ PATIENCE = 5
 TOP_K = 4
 
 
-def running_max(
-    df: DataFrame, value: str, name: str, inclusive: bool, block: int = BLOCK_EPOCHS
-) -> DataFrame:
-    """Running maximum of ``value`` over the epochs of each run; NULLs are skipped.
-
-    ``inclusive`` counts the row itself. Epochs are dense integers.
+def running_max(df: DataFrame, value: str, name: str, block: int = BLOCK_EPOCHS) -> DataFrame:
+    """Running maximum of ``value`` over the epochs of each run, the row included;
+    NULLs are skipped. Epochs are dense integers.
     """
     b = df.withColumn("_block", F.floor(F.col("epoch") / block))
     blocks = b.groupBy("run_id", "_block").agg(F.max(value).alias("_top"))
@@ -33,7 +30,7 @@ def running_max(
     inside = (
         Window.partitionBy("run_id", "_block")
         .orderBy("epoch")
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         b.join(carried, ["run_id", "_block"])
@@ -48,18 +45,17 @@ def early_stop(
     """First epoch of each run at which the value has not improved for
     ``patience`` checks, or is not finite; NULL when the run never stops.
 
-    A tie is no improvement.
+    A tie is no improvement, so the last improvement is the earliest epoch that
+    holds the best value so far: the running maximum of (value, -epoch).
     """
     v = F.col("value")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    usable = history.withColumn("_v", F.when(finite, v))
-    best = running_max(usable, "_v", "_best", False, block)
-    better = F.col("_best").isNull() | (F.col("_v") > F.col("_best"))
-    marked = best.withColumn("_up", F.when(F.col("_v").isNotNull() & better, F.col("epoch")))
-    last = running_max(marked, "_up", "_last_up", True, block)
-    waited = F.col("epoch") - F.coalesce("_last_up", F.lit(-1)) >= patience
-    stop = waited | F.col("_v").isNull()
-    return last.groupBy("run_id").agg(
+    scored = history.withColumn(
+        "_score", F.when(finite, F.struct(v.alias("v"), (-F.col("epoch")).alias("e")))
+    )
+    best = running_max(scored, "_score", "_best", block)
+    stop = F.col("_score").isNull() | (F.col("epoch") + F.col("_best.e") >= patience)
+    return best.groupBy("run_id").agg(
         F.min(F.when(stop, F.col("epoch"))).alias("stop_epoch"), F.count("*").alias("epochs")
     )
 

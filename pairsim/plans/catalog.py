@@ -377,7 +377,7 @@ def loss_table(spark, sf_dir):
 
 @query
 def early_stop(spark, sf_dir):
-    return history.early_stop(t.metric_history(spark, sf_dir))
+    return history.early_stop(durable(t.metric_history(spark, sf_dir)))
 
 
 @query
@@ -387,7 +387,7 @@ def top_checkpoints(spark, sf_dir):
 
 @query
 def best_trial(spark, sf_dir):
-    h = t.metric_history(spark, sf_dir)
+    h = durable(t.metric_history(spark, sf_dir))
     low = history.best_trial(h, "minimize").withColumn("goal", F.lit("minimize"))
     return low.unionByName(history.best_trial(h, "maximize").withColumn("goal", F.lit("maximize")))
 
@@ -434,7 +434,8 @@ def pair_features(spark, sf_dir):
 @query
 def tfidf_cosine(spark, sf_dir):
     df = pairs.clean_pairs(t.line_pairs(spark, sf_dir))
-    return rounded(features.tfidf_cosine(df, ["id"]), "tfidf_cosine")
+    table = durable(features.document_frequencies(df))
+    return rounded(features.tfidf_cosine(df, ["id"], frequencies=table), "tfidf_cosine")
 
 
 @query
