@@ -45,7 +45,7 @@ def char_ngrams(text: Column, n: int) -> Column:
     character without consuming it. A match may not start on the second half
     of a character outside the basic plane.
     """
-    pattern = "(?s)(?=([^\\x{DC00}-\\x{DFFF}].{%d}))" % (n - 1)
+    pattern = r"(?s)(?=([^\x{DC00}-\x{DFFF}]" + "." * (n - 1) + "))"
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
 

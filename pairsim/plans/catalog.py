@@ -45,7 +45,9 @@ FIT_FEATURES = ["char3_jaccard", "length_ratio"]
 
 
 def query(fn: Query) -> Query:
-    REGISTRY[fn.__name__] = fn
+    """Register under the function's name, less the underscore that keeps it apart
+    from a module of the same name."""
+    REGISTRY[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -365,7 +367,7 @@ def batch_pearson(spark, sf_dir):
 
 
 @query
-def loss_table(spark, sf_dir):
+def losses_(spark, sf_dir):
     p, y = F.col("prediction"), F.col("label")
     named = [F.round(losses.loss(n, p, y), 6).alias(n) for n in losses.LOSSES]
     plain = F.round(losses.plcc(p, y, squared=False), 6).alias("plcc_plain")
@@ -396,7 +398,7 @@ def best_trial(spark, sf_dir):
 
 
 @query
-def post_processing(spark, sf_dir):
+def postprocess_(spark, sf_dir):
     """Scores stretched beyond both ends of the label range."""
     preds = t.three_models(t.line_pairs(spark, sf_dir))
     raw = F.col("prediction") * 1.5 - 1.0
@@ -404,7 +406,7 @@ def post_processing(spark, sf_dir):
 
 
 @query
-def submission_table(spark, sf_dir):
+def submission_(spark, sf_dir):
     """A template and predictions for nine tenths of it, through CSV and back."""
     df = t.scored_pairs(spark, sf_dir)
     template_path, out_path = scratch_path(spark, "template"), scratch_path(spark, "submission")
@@ -452,7 +454,7 @@ def _featured(spark, sf_dir):
     because a fit reads its rows several times."""
     df = pairs.clean_pairs(t.with_overlap_label(t.line_pairs(spark, sf_dir)))
     feats = features.pair_features(df, FIT_FEATURES).select("id", *PLACE, "label", *FIT_FEATURES)
-    return durable(position.split_fractions(durable(feats), PLACE))
+    return position.split_fractions(durable(feats), PLACE)
 
 
 def _train(df):

@@ -368,7 +368,7 @@ SQL["batch_pearson"] = with_parts(
     f"SELECT pos // 16 AS b, count(*) AS n, {pearson('prediction', 'label')} AS r FROM (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS pos FROM scored) GROUP BY b)",
 )
 _r = pearson("prediction", "label")
-SQL["loss_table"] = with_parts(
+SQL["losses"] = with_parts(
     SCORED,
     f"SELECT source, round(avg(abs(prediction - label)), 6) AS \"L1\", round(avg(pow(prediction - label, 2)), 6) AS \"MSE\", "
     f"round({huber('prediction', 'label')}, 6) AS \"Huber\", round(1 - pow({_r}, 2), 6) AS plcc, round(1 - ({_r}), 6) AS plcc_plain FROM scored GROUP BY source",
@@ -390,8 +390,8 @@ SQL["best_trial"] = with_parts(
 )
 
 THREE = f"{PAIRS} cleaned cleaned_sets gram_sets three"
-SQL["post_processing"] = with_parts(THREE, f"SELECT model, id, {finish('(prediction * 1.5::DOUBLE - 1.0::DOUBLE)')} AS target FROM three")
-SQL["submission_table"] = with_parts(
+SQL["postprocess"] = with_parts(THREE, f"SELECT model, id, {finish('(prediction * 1.5::DOUBLE - 1.0::DOUBLE)')} AS target FROM three")
+SQL["submission"] = with_parts(
     SCORED, f"SELECT id, CASE WHEN {u(S, q('scored'), 'id')} >= 0.1 THEN {finish('prediction')} END AS target FROM scored"
 )
 SQL["ensemble_weighted"] = with_parts(

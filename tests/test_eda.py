@@ -115,7 +115,7 @@ def test_deletion_keeps_order_and_swap_permutes(spark):
 
 @pytest.mark.parametrize("num_aug,rows", [(9, 10), (3, 4), (1, 2), (20, 21)])
 def test_output_count(spark, table, num_aug, rows):
-    text = "부스트캠프 너무 힘들어요 잠이나 푹 자고 싶어요 방학 없나요"
+    text = "오늘 아침 시장에서 신선한 사과 세 개를 샀어요 그래서 좋아요"
     df = spark.createDataFrame([("x", text), ("y", "")], "id string, text string")
     out = eda.eda_sentence(df, table, ["id"], "text", 777, num_aug).collect()
     assert len(out) == 2 * rows
