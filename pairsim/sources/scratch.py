@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +10,19 @@ SETTING = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
-    named = spark.conf.get(SETTING, None)
+    """A folder all executors share: the named one, else the session's warehouse.
+
+    On a cluster neither may be a driver-local path, so a warehouse without a
+    shared scheme is refused unless the master is local.
+    """
+    named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    chosen = spark.sparkContext.getCheckpointDir()
-    if chosen:
-        return chosen.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="pairsim-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local" and "://" not in warehouse.removeprefix("file://"):
+        raise ValueError(f"set {SETTING}: {warehouse} is not shared between executors")
+    return f"{warehouse}/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
