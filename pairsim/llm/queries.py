@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsim.llm import bpe, simhash
+from pairsim.llm import bpe, chat, mixing, simhash, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -37,3 +37,31 @@ def op10_simhash(spark, sf_dir):
 def op9_bpe(spark, sf_dir):
     """Ids and decoded text of every document, as digests."""
     return bpe.token_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_token_counts(spark, sf_dir):
+    """Words and greedy longest-match tokens of every document."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_mixing(spark, sf_dir):
+    """Size, target and words taken of every document in the mix."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+SQL["op8_mixing"] = mixing.MIX_SQL
+
+
+@query
+def op5_chat(spark, sf_dir):
+    """Turns, loss mask and length of every formatted conversation."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = [(-7, 0, "user", text), (-7, 1, "assistant", text)]
+    rows = rows.unionByName(spark.createDataFrame(extra, rows.schema))
+    return chat.conversation_digests(chat.format_records(chat.turn_records(rows)))
+
+
+SQL["op5_chat"] = chat.CHAT_SQL
