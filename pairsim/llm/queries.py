@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsim.llm import bpe, chat, mixing, simhash, tokencount
+from pairsim.llm import bpe, chat, langid, mixing, simhash, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -65,3 +65,14 @@ def op5_chat(spark, sf_dir):
 
 
 SQL["op5_chat"] = chat.CHAT_SQL
+
+
+@query
+def op2_langid(spark, sf_dir):
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict_languages(docs.select("doc_id", "text"), profiles)
+    return found.select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
