@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsim.llm import bpe, chat, langid, mixing, simhash, tokencount
+from pairsim.llm import bpe, chat, langid, mixing, simhash, tokencount, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -76,3 +76,32 @@ def op2_langid(spark, sf_dir):
     return found.select(
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
     )
+
+
+#: Fixed rules of the url query.
+URL_RULES = (
+    ("net/", urlfilter.BLOCK),
+    ("example.net/en/", urlfilter.ALLOW),
+    ("example.com/de/", urlfilter.BLOCK),
+    ("org/fr/", urlfilter.ALLOW),
+)
+
+
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the label of the document that the last number of their path names."""
+    labels = (
+        table(spark, sf_dir, "labels")
+        .groupBy("doc_id")
+        .agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("long")).alias("bad"))
+    )
+    number = F.regexp_extract(urlfilter.path_of(F.col("url")), r"([0-9]{1,18})[^/0-9]*/?$", 1)
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.nullif(number, F.lit("")).cast("long").alias("shown")
+    )
+    return pages.join(labels, pages.shown == labels.doc_id, "left").select("page_id", "url", "bad")
+
+
+@query
+def op7_urlfilter(spark, sf_dir):
+    """Rule, template and verdict of every page's url."""
+    return urlfilter.judge(labelled_pages(spark, sf_dir), URL_RULES)
