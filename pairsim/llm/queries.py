@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsim.llm import bpe, chat, langid, mixing, simhash, tokencount, urlfilter
+from pairsim.llm import bpe, chat, langid, mixing, neardup, simhash, tokencount, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -105,3 +105,9 @@ def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_urlfilter(spark, sf_dir):
     """Rule, template and verdict of every page's url."""
     return urlfilter.judge(labelled_pages(spark, sf_dir), URL_RULES)
+
+
+@query
+def op3_neardup(spark, sf_dir):
+    """Links and component of every vector at cosine 0.95."""
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
