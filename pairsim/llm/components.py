@@ -34,8 +34,9 @@ def _round(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node of ``links(a long, b long)``; root = smallest node.
+    """``(node, root)`` for every node of ``links(a, b)``; root = smallest node.
 
+    Nodes are of any type with an order, structs among them.
     Alternating large-star and small-star steps need a logarithmic number of
     rounds. Each round is written to the shared folder, so no lineage grows and
     a lost executor costs one round at most; only a count and a checksum reach

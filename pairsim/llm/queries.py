@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsim.llm import bpe, chat, langid, mixing, neardup, simhash, tokencount, urlfilter
+from pairsim.llm import bpe, chat, langid, linededup, mixing, neardup, simhash, tokencount, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -111,3 +111,9 @@ def op7_urlfilter(spark, sf_dir):
 def op3_neardup(spark, sf_dir):
     """Links and component of every vector at cosine 0.95."""
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_linededup(spark, sf_dir):
+    """Lines of every document that repeat an earlier line, exactly or nearly."""
+    return linededup.line_report(table(spark, sf_dir, "documents"))
