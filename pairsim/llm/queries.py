@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsim.llm import bpe, chat, langid, linededup, mixing, neardup, simhash, tokencount, urlfilter
+from pairsim.llm import bpe, chat, langid, linededup, mixing, neardup, simhash, sketch, tokencount, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -117,3 +117,9 @@ def op3_neardup(spark, sf_dir):
 def op4_linededup(spark, sf_dir):
     """Lines of every document that repeat an earlier line, exactly or nearly."""
     return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_fingerprints(spark, sf_dir):
+    """Fingerprint of every document and its likeness to an edited text and a neighbour."""
+    return sketch.sketch_edits(table(spark, sf_dir, "documents"))
