@@ -28,6 +28,7 @@ FRACTION = 8
 WHOLE = 64
 #: Hashes are signed longs; the lowest fraction of them lies below this.
 BELOW = -(1 << 63) + (1 << 64) // FRACTION
+_NO_ID = -(1 << 63)
 
 
 def _shingle_hashes(words: Column) -> Column:
@@ -108,17 +109,20 @@ def sketch_edits(docs: DataFrame) -> DataFrame:
     all) of the next document in descending ``doc_id``. Where rows share an id, its
     smallest text is the next document for others; rows of null id have no next one.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Both joins below deal the rows by this key, which is never null, so the texts
+    # are shuffled once for both.
+    key = F.coalesce("doc_id", F.lit(_NO_ID))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
     ids = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(F.length("text")).alias("n")
     )
     order = next_ids(ids)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    single = rows.withColumn("place", place).where(F.col("place") == 1)
+    same_key = Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    single = rows.withColumn("before", F.lag("key").over(same_key)).where(F.col("before").isNull())
     half = F.floor(F.col("n") / 2).cast("int")
     found = (
         order.withColumnRenamed("doc_id", "id")
-        .join(single, F.col("next_id") == F.col("doc_id"))
+        .join(single, F.col("next_id") == F.col("key"))
         .select(
             "id",
             F.substring("text", F.lit(1), half).alias("start"),
@@ -127,17 +131,19 @@ def sketch_edits(docs: DataFrame) -> DataFrame:
     )
     n = F.length("text")
     own_half = F.floor(n / 2).cast("int")
+    start = F.when(F.col("doc_id").isNotNull(), F.coalesce("start", F.lit(""))).otherwise("")
     edited = F.concat(
-        F.substring("text", F.lit(1), n - own_half),
-        F.substring(F.coalesce("start", F.lit("")), F.lit(1), own_half),
+        F.substring("text", F.lit(1), n - own_half), F.substring(start, F.lit(1), own_half)
     )
-    joined = rows.join(found, F.col("doc_id") == F.col("id"), "left")
+    none = F.array().cast("array<long>")
+    neighbour = F.when(F.col("doc_id").isNotNull(), F.coalesce("next_fingerprint", none))
+    joined = rows.join(found, F.col("key") == F.col("id"), "left")
     marked = joined.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         edited.alias("edited"),
         fingerprint(F.col("text")).alias("fingerprint"),
-        F.coalesce("next_fingerprint", F.array().cast("array<long>")).alias("next_fingerprint"),
+        neighbour.otherwise(none).alias("next_fingerprint"),
     )
     return marked.select(
         "doc_id",
