@@ -29,7 +29,9 @@ VOCABULARY = "word_bpe_49k.json"
 SCAN_PARTS = 256
 #: Words kept with their ids in one generation of a Python worker's cache; there are
 #: two, so the memory of a worker stays bounded.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 80_000
+#: Rows that are held in Python at a time.
+_ROWS = 200
 #: Longer runs without white space are encoded each time.
 CACHED_CHARS = 64
 #: Split as white space by ``str.split``, but not white space to the vocabulary.
@@ -187,13 +189,14 @@ def _over_texts(docs: DataFrame, path: str | None, fields: pa.Schema, columns) -
     def run(batches):
         bpe = _shared(spec, path)
         for batch in batches:
-            rows = [columns(bpe, text) for text in batch.column(1).to_pylist()]
-            values = [batch.column(0), *(zip(*rows, strict=True) if rows else [()] * (len(fields) - 1))]
-            arrays = [
-                v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type)
-                for v, f in zip(values, fields, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, schema=fields)
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                rows = [columns(bpe, text) for text in part.column(1).to_pylist()]
+                made = [
+                    pa.array(v, f.type)
+                    for v, f in zip(zip(*rows, strict=True), list(fields)[1:], strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *made], schema=fields)
 
     return docs.select("doc_id", "text").mapInArrow(run, from_arrow_schema(fields))
 

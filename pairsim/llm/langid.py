@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ UNKNOWN = "und"
 _BITS = 21
 #: Texts are read in pieces of so many characters, overlapping by an n-gram.
 _PIECE = 1 << 20
+#: Texts that are held in Python at a time.
+_ROWS = 200
 _SPACE = 0
 
 
@@ -163,11 +164,11 @@ def held_out(doc_id: Column) -> Column:
 def _count_batches(batches) -> Iterator[pa.RecordBatch]:
     """Counts per language of the task's documents, summed before they leave it."""
     held: dict[str, list] = {}
-    for batch in batches:
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys, counts = gram_counts(text)
+    slices = (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS))
+    for part in slices:
+        for lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
             parts = held.setdefault(lang, [])
-            parts.append((keys, counts))
+            parts.append(gram_counts(text))
             if sum(len(k) for k, _ in parts) > 1_000_000:
                 merged = _merge(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 parts[:] = [merged]
@@ -215,11 +216,19 @@ def predict_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     model = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(text: pd.Series) -> pd.DataFrame:
-        found = [model.value.predict(t) for t in text]
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
-
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(text: pa.Array) -> pa.Array:
+        langs, scores = [], []
+        for at in range(0, len(text), _ROWS):
+            for t in text.slice(at, _ROWS).to_pylist():
+                lang, score = model.value.predict(t)
+                langs.append(lang)
+                scores.append(score)
+        columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score"])
+
+    # A filter on the result would otherwise be evaluated by a second call.
+    predict = predict.asNondeterministic()
     return docs.select(*[F.col(f"`{c}`") for c in kept], predict(F.col("text")).alias("_found")).select(
         *[F.col(f"`{c}`") for c in kept], "_found.lang_pred", "_found.score"
     )

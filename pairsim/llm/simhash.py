@@ -79,8 +79,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def _fingerprint_batches(batches):
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        found = np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64)
+        # A few texts at a time are held in Python.
+        slices = (batch.column(1).slice(at, 200) for at in range(0, batch.num_rows, 200))
+        fps = [fingerprint(x) for part in slices for x in part.to_pylist()]
+        found = np.array(fps, dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), pa.array(found)], names=["doc_id", "fp"]
         )

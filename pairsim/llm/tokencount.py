@@ -26,7 +26,7 @@ from pairsim.llm.vocabulary import default_path, read_ranks
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words kept with their counts per Python worker.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 CACHED_BYTES = 64
 
 
@@ -123,7 +123,9 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             _LOADED[path] = WordCounts(LongestMatch(pieces.value))
         counts = _LOADED[path]
         for batch in batches:
-            found = [counts.of_text(t) for t in batch.column(1).to_pylist()]
+            # A few texts at a time are held in Python.
+            slices = (batch.column(1).slice(at, 200) for at in range(0, batch.num_rows, 200))
+            found = [counts.of_text(t) for part in slices for t in part.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
