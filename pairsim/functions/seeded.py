@@ -35,6 +35,9 @@ def extend(prefix: Column, *parts) -> Column:
 
 def hash_above(digest: Column, p: float) -> Column:
     """Whether the unit draw of a digest exceeds ``p``, compared as hex digits."""
+    if p >= 1 or p < 0:
+        # Eight digits cannot hold these bounds.
+        return F.lit(p < 0)
     return F.substring(digest, 1, 8) > F.lit(f"{int(p * 4294967296):08x}")
 
 

@@ -30,6 +30,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " ", -1), lambda w: w != "")
 
 
+def present_words(text: Column) -> Column:
+    """``words``, with no words for a NULL text."""
+    return words(F.coalesce(text, F.lit("")))
+
+
 def join_words(ws: Column) -> Column:
     return F.array_join(ws, " ")
 

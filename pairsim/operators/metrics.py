@@ -40,18 +40,21 @@ def batch_pearson(
 ) -> DataFrame:
     """Pearson per batch, then its mean weighted by batch rows.
 
-    A batch without variance is NaN and makes the plain mean NaN; the mean of
+    A batch without variance is NaN and makes the plain mean NaN; one without a
+    complete pair has no value and weighs in no mean. The mean of
     the defined batches and the number of undefined ones are given beside it.
     """
     per = df.groupBy(*by, batch).agg(
         F.count("*").alias("n"), losses.pearson(F.col(prediction), F.col(label)).alias("r")
     )
     n, r = F.col("n"), F.col("r")
-    defined = ~F.isnan(r)
+    # Without any complete pair r is NULL: such a batch has no value either.
+    undefined = r.isNull() | F.isnan(r)
+    defined = ~undefined
     return per.groupBy(*by).agg(
         F.count("*").alias("batches"),
-        F.count_if(F.isnan(r)).alias("undefined_batches"),
-        F.try_divide(F.sum(n * r), F.sum(n)).alias("mean_pearson"),
+        F.count_if(undefined).alias("undefined_batches"),
+        F.try_divide(F.sum(n * r), F.sum(F.when(r.isNotNull(), n))).alias("mean_pearson"),
         F.try_divide(F.sum(F.when(defined, n * r)), F.sum(F.when(defined, n))).alias(
             "mean_defined_pearson"
         ),

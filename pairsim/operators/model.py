@@ -26,6 +26,8 @@ def regressor(loss: str, weight_decay: float = 0.0, **params):
     """
     common = {"featuresCol": "features", "labelCol": "label", "predictionCol": "prediction"}
     if loss == "L1":
+        if weight_decay:
+            raise ValueError("the L1 fit is a tree ensemble and has no weight decay")
         return GBTRegressor(lossType="absolute", seed=17, **common, **{"maxIter": 10, **params})
     kind = {"MSE": "squaredError", "plcc": "squaredError", "Huber": "huber"}[loss]
     return LinearRegression(loss=kind, regParam=weight_decay, **common, **params)

@@ -26,8 +26,14 @@ def ensemble_weighted(predictions: DataFrame, weights: Mapping[str, float]) -> D
 
 def build_submission(template: DataFrame, predictions: DataFrame) -> DataFrame:
     """``(id, target)`` for every template row, rounded and clipped; NULL where no
-    prediction exists."""
-    p = predictions.select("id", finish_prediction(F.col("prediction")).alias("target"))
+    prediction exists. Several predictions for one id are an error."""
+    several = F.raise_error(F.concat(F.lit("several predictions for id "), F.col("id").cast("string")))
+    one = F.when(F.col("n") > 1, several.cast("double")).otherwise(F.col("prediction"))
+    p = (
+        predictions.groupBy("id")
+        .agg(F.count("*").alias("n"), F.first("prediction").alias("prediction"))
+        .select("id", finish_prediction(one).alias("target"))
+    )
     return template.select("id").join(p, "id", "left")
 
 

@@ -437,7 +437,8 @@ _t = pair_edit_parts("raw_swapped", "id, variant", "te")
 SQL["augmented_training_table"] = with_parts(
     f"{_pairs_syn} id_split raw_swapped {_t}",
     f'SELECT id, variant, source, label, "binary-label", aug, x AS sentence_1, y AS sentence_2, '
-    f"row_number() OVER (ORDER BY {h(S, '0', q('shuffle'), 'id', 'variant', 'aug')}, id, variant, aug) - 1 AS pos FROM te_rows",
+    f"row_number() OVER (ORDER BY {h(S, '0', q('shuffle'), 'id', 'variant', 'aug')}, id, variant, aug) - 1 AS pos, 'train' AS split FROM te_rows "
+    "UNION ALL BY NAME SELECT id, 'orig' AS variant, source, label, \"binary-label\", sentence_1, sentence_2, split FROM id_split WHERE split <> 'train'",
     True,
 )
 _score = finish(f"5 * {ratio('a', 'b')}")

@@ -1,0 +1,43 @@
+"""Rows with a NULL text, extreme probabilities and empty batches."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairsim.functions.seeded import hash_above
+from pairsim.operators import features, metrics, model, submission, vocab
+
+PAIRS = "id string, sentence_1 string, sentence_2 string"
+
+
+def test_null_text_keeps_its_row(spark):
+    df = spark.createDataFrame([("1", "a b", "b c"), ("2", "a d", None)], PAIRS)
+    counts = {r.word: r.n for r in vocab.word_counts(df, ["sentence_1", "sentence_2"]).collect()}
+    assert counts == {"a": 2, "b": 2, "c": 1, "d": 1}
+    assert {r.word: r.df for r in features.document_frequencies(df).collect()}["d"] == 1
+
+
+@pytest.mark.parametrize("p, above", [(0.5, None), (1.0, 0), (1.5, 0), (-0.1, 200)])
+def test_bounds_of_draws(spark, p, above):
+    n = spark.range(200).where(hash_above(F.md5(F.col("id").cast("string").cast("binary")), p)).count()
+    assert n == above if above is not None else 60 < n < 140
+
+
+def test_batch_without_labels(spark):
+    rows = [(0, 1.0, 1.0), (0, 2.0, 2.0), (1, 1.0, None), (1, 2.0, None)]
+    df = spark.createDataFrame(rows, "batch_id int, prediction double, label double")
+    r = metrics.batch_pearson(df).first()
+    assert (r.batches, r.undefined_batches) == (2, 1)
+    assert r.mean_defined_pearson == pytest.approx(1.0) and r.mean_pearson == pytest.approx(1.0)
+
+
+def test_repeated_predictions_are_refused(spark):
+    template = spark.createDataFrame([("1",), ("2",)], "id string")
+    twice = spark.createDataFrame([("1", 1.0), ("1", 2.0)], "id string, prediction double")
+    with pytest.raises(Exception, match="several predictions"):
+        submission.build_submission(template, twice).collect()
+    assert submission.build_submission(template, twice.limit(1)).count() == 2
+
+
+def test_no_weight_decay_for_l1():
+    with pytest.raises(ValueError):
+        model.regressor("L1", 0.1)
