@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairsim.sources.scratch import durable
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
-HOT_SHARE = 0.001
-SALTS = 64
+#: Rows of one key that one task takes.
+TASK_ROWS = 1_000_000
 
 
 def spread_by_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -25,6 +27,12 @@ def spread_by_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.repartition(max(configured, 4 * spark.sparkContext.defaultParallelism), *key)
 
 
+def require_one_row(ok: Column, value: Column) -> Column:
+    """``value`` where ``ok``; otherwise several rows share a key and the job fails."""
+    message = F.lit("rows share a key: it has to identify a row")
+    return F.when(ok, value).otherwise(F.raise_error(message))
+
+
 def fits_broadcast(
     df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS
 ) -> bool:
@@ -40,29 +48,34 @@ def lookup(
     key: str,
     spread: Sequence[str],
     broadcast: bool | None = None,
-    hot_share: float = HOT_SHARE,
-    salts: int = SALTS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """``left`` with the columns of ``table`` for its ``key``, NULL where absent.
 
-    A table inside the bound is broadcast. Otherwise rows of hot keys are spread
-    over ``salts`` tasks by a hash of their ``spread`` columns, and the few table
-    rows they meet are repeated once per salt. A key is hot above ``hot_share``
-    of the rows, so the driver sees at most ``1 / hot_share`` hashes.
+    A table inside the bound is broadcast. Otherwise a key with more than
+    ``task_rows`` rows is spread over as many salts as it has ``task_rows`` by a hash
+    of the ``spread`` columns, and the table row it meets is repeated once per salt.
+    There are at most ``rows / task_rows`` such keys; where that could exceed the
+    rows that may be broadcast, the target grows with the number of rows.
     """
     if broadcast is None:
         broadcast = fits_broadcast(table)
     if broadcast:
         return left.join(F.broadcast(table), key, "left")
     h = F.xxhash64(F.col(key))
-    counts = left.select(h.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n"))
-    total = left.count()
-    hot = [r._h for r in counts.where(F.col("_n") > max(1, hot_share * total)).select("_h").collect()]
-    if not hot:
+    counts = durable(left.select(h.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    target = max(task_rows, total // BROADCAST_ROWS)
+    hot = counts.where(F.col("_n") > target).select("_h", F.ceil(F.col("_n") / target).alias("_salts"))
+    if hot.isEmpty():
         return left.join(table, key, "left")
-    is_hot = h.isin(hot)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
-    salted = left.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
-    repeats = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = table.withColumn("_salt", F.explode(repeats))
+    salts = F.coalesce("_salts", F.lit(1))
+
+    def with_salts(df: DataFrame) -> DataFrame:
+        return df.withColumn("_h", h).join(F.broadcast(hot), "_h", "left").drop("_h")
+
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), salts)
+    salted = with_salts(left).withColumn("_salt", salt).drop("_salts")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
+    repeated = with_salts(table).withColumn("_salt", each).drop("_salts")
     return salted.join(repeated, [key, "_salt"], "left").drop("_salt")

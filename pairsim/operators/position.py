@@ -1,28 +1,27 @@
 """Row positions, positional splits and batches without a single-task sort.
 
-Rows fall into buckets that keep the wanted order; only the per-bucket counts
-(never more rows than buckets) go through one task, and their running sums are
-the bucket offsets. Ranks inside buckets are independent. The bucket of a row
-is a pure function of its key, so recomputed tasks give the same positions.
+Spark range-partitions and sorts the rows by key; they are stored with their
+partition and their place in it, so a retried task cannot renumber them. Only one
+count per partition passes a single task, and the running sums are the offsets.
 
 Keys must identify a row.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairsim.functions.seeded import draw_hash, hash_to_unit, let
+from pairsim.functions.seeded import draw_hash, hash_to_unit
+from pairsim.sources.scratch import durable
 
-HASH_BUCKETS = 4096
-ROWS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 16_384
-SAMPLES_PER_BUCKET = 20
+#: Counts that the driver sees when it looks for the bucket of a cut.
+CUT_BUCKETS = 16_384
+#: Rows of a partition in ``monotonically_increasing_id``.
+PLACE_BITS = 33
 
 
 def _key_struct(keys: Sequence[str | Column]) -> Column:
@@ -36,76 +35,14 @@ def _literal(key: Row, dtype: T.StructType) -> Column:
     )
 
 
-def hash_bucket(digest: Column, buckets: int = HASH_BUCKETS) -> Column:
+def hash_bucket(digest: Column, buckets: int = CUT_BUCKETS) -> Column:
     """Equal-width bucket of a hex digest; grows with the digest's order."""
     return F.floor(hash_to_unit(digest) * buckets).cast("int")
 
 
-def range_bucket(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> Column:
-    """Bucket of the key struct between bounds sampled from ``df``.
-
-    The driver receives about ``SAMPLES_PER_BUCKET`` keys per bucket. Bounds
-    decide only how even the buckets are: positions are exact for any bounds.
-    """
-    total = df.count()
-    if buckets is None:
-        cores = 2 * df.sparkSession.sparkContext.defaultParallelism
-        buckets = min(MAX_BUCKETS, max(cores, math.ceil(total / ROWS_PER_BUCKET)))
-    key_df = df.select(_key_struct(keys).alias("key"))
-    fraction = min(1.0, SAMPLES_PER_BUCKET * buckets / max(total, 1))
-    sample = key_df.sample(fraction, seed=17).orderBy("key").collect()
-    step = len(sample) / buckets
-    picked = dict.fromkeys(int(i * step) for i in range(1, buckets)) if sample else {}
-    bounds = [sample[i].key for i in picked]
-    if not bounds:
-        return F.lit(0)
-    dtype = key_df.schema["key"].dataType
-
-    def at_or_below(arr: Column, key: Column) -> Column:
-        return F.size(F.filter(arr, lambda b: b <= key))
-
-    width = max(8, math.isqrt(len(bounds)))
-    chunks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    coarse = F.array(*[_literal(c[-1], dtype) for c in chunks])
-    fine = F.array(*[F.array(*[_literal(b, dtype) for b in c]) for c in chunks])
-
-    def locate(key: Column) -> Column:
-        # Whole chunks below the key first, then the bounds inside one chunk.
-        return let(
-            at_or_below(coarse, key),
-            lambda c: c * width
-            + F.when(c < len(chunks), at_or_below(F.get(fine, c), key)).otherwise(0),
-        )
-
-    return let(_key_struct(keys), locate)
-
-
-def _bucket_offsets(bucketed: DataFrame, by: Sequence[str]) -> DataFrame:
-    counts = bucketed.groupBy("_bucket", *by).agg(F.count("*").alias("_n"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_bucket")
-    before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return counts.withColumn("_offset", F.coalesce(before, F.lit(0))).drop("_n")
-
-
-def _ranked(
-    bucketed: DataFrame, keys: Sequence[str | Column], by: Sequence[str], name: str
-) -> DataFrame:
-    offsets = _bucket_offsets(bucketed, by)
-    renamed = offsets.select(
-        "_offset", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(["_bucket", *by])]
-    )
-    on = [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(["_bucket", *by])]
-    if not by:
-        # One row per bucket: the bucket count bounds what is broadcast.
-        renamed = F.broadcast(renamed)
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    rank = F.row_number().over(Window.partitionBy("_bucket", *by).orderBy(*keys))
-    cols = [c for c in bucketed.columns if c != "_bucket"]
-    return bucketed.join(renamed, cond).select(
-        *[F.col(f"`{c}`") for c in cols], (F.col("_offset") + rank - 1).cast("long").alias(name)
-    )
+def place_in_partition() -> Column:
+    """0-based place of a row in its partition."""
+    return F.monotonically_increasing_id().bitwiseAND((1 << PLACE_BITS) - 1)
 
 
 def with_position(
@@ -113,14 +50,44 @@ def with_position(
     keys: Sequence[str],
     by: Sequence[str] = (),
     name: str = "pos",
-    buckets: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """0-based position by ``keys``, counted inside each ``by`` group.
 
-    A group of any size spreads over the buckets its keys span.
+    A group of any size spreads over the partitions its keys span. Of the groups in
+    a partition only the first can have begun in an earlier one, so one offset per
+    partition is enough; that table is as long as there are partitions.
     """
-    bucket = range_bucket(df, [*by, *keys], buckets)
-    return _ranked(df.withColumn("_bucket", bucket), list(keys), list(by), name)
+    spark = df.sparkSession
+    if partitions is None:
+        configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(configured, 2 * spark.sparkContext.defaultParallelism)
+    groups = [F.col(f"`{c}`") for c in by]
+    order = [*groups, *[F.col(f"`{c}`") for c in keys]]
+    placed = durable(
+        df.repartitionByRange(partitions, *order)
+        .sortWithinPartitions(*order)
+        .withColumns({"_part": F.spark_partition_id(), "_place": place_in_partition()})
+    )
+    runs = placed.groupBy("_part", *groups).agg(F.count("*").alias("_n"), F.min("_place").alias("_start"))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        runs.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .where("_start = 0")
+        .select("_part", "_offset")
+    )
+    start = F.lit(0)
+    if by:
+        start = F.first("_place").over(Window.partitionBy("_part", *groups).orderBy("_place"))
+    offset = F.when(F.col("_start") == 0, F.col("_offset")).otherwise(0)
+    return (
+        placed.withColumn("_start", start)
+        .join(F.broadcast(offsets), "_part")
+        .select(
+            *[F.col(f"`{c}`") for c in df.columns],
+            (F.col("_place") - F.col("_start") + offset).cast("long").alias(name),
+        )
+    )
 
 
 def shuffle_rows(
@@ -128,8 +95,7 @@ def shuffle_rows(
 ) -> DataFrame:
     """Random order of all rows as a position; another ``epoch`` gives another order."""
     h = draw_hash(seed, epoch, "shuffle", *[F.col(f"`{k}`") for k in key])
-    hashed = df.withColumn("_h", h).withColumn("_bucket", hash_bucket(F.col("_h")))
-    return _ranked(hashed, ["_h", *key], [], name).drop("_h")
+    return with_position(df.withColumn("_h", h), ["_h", *key], name=name).drop("_h")
 
 
 def before_cuts(
@@ -140,7 +106,7 @@ def before_cuts(
 ) -> list[Column]:
     """For each cut, a condition that holds for exactly the first ``cut(n)`` rows.
 
-    The driver gets the count of each bucket (at most ``MAX_BUCKETS`` numbers)
+    The driver gets the count of each bucket (at most ``CUT_BUCKETS`` numbers)
     and then one key per cut; only the buckets holding a cut are sorted.
     Comparing rows with those keys replaces numbering, sorting or moving them.
     """
@@ -173,26 +139,45 @@ def before_cuts(
     ]
 
 
+# Shares of the table at which the splits end, and their names.
+CUTS = (0.7, 0.85)
+SPLITS = ("train", "validation", "test")
+
+
+def split_positions(
+    placed: DataFrame,
+    cuts: tuple[float, float] = CUTS,
+    names: tuple[str, str, str] = SPLITS,
+    pos: str = "pos",
+) -> DataFrame:
+    """Split by a position column at ``int(n * cut)`` (double arithmetic, truncated)."""
+    n = placed.count()
+    first, second = (F.col(pos) < int(n * c) for c in cuts)
+    return placed.withColumn("split", F.when(first, names[0]).when(second, names[1]).otherwise(names[2]))
+
+
 def split_fractions(
     df: DataFrame,
     keys: Sequence[str],
-    cuts: tuple[float, float] = (0.7, 0.85),
-    names: tuple[str, str, str] = ("train", "validation", "test"),
-    buckets: int | None = None,
+    cuts: tuple[float, float] = CUTS,
+    names: tuple[str, str, str] = SPLITS,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Split by position at ``int(n * cut)`` (double arithmetic, truncated).
+    """As ``split_positions``, by the order of ``keys``.
 
-    Rows are compared with the two boundary keys; the table is not shuffled.
+    Only the keys are sorted. Rows are compared with the two keys at the cuts; the
+    table itself is not shuffled.
     """
-    first, second = before_cuts(
-        df,
-        range_bucket(df, keys, buckets),
-        [F.col(k) for k in keys],
-        [lambda n, c=c: int(n * c) for c in cuts],
-    )
-    return df.withColumn(
-        "split", F.when(first, names[0]).when(second, names[1]).otherwise(names[2])
-    )
+    placed = with_position(durable(df.select(*keys)), keys, name="_pos", partitions=partitions)
+    n = placed.count()
+    at = [int(n * c) for c in cuts]
+    key = _key_struct(keys)
+    found = placed.select("_pos", key.alias("key"))
+    rows = {r["_pos"]: r.key for r in found.where(F.col("_pos").isin(at)).collect()}
+    dtype = found.schema["key"].dataType
+    # A cut past the last row takes all rows.
+    first, second = (key < _literal(rows[p], dtype) if p in rows else F.lit(True) for p in at)
+    return df.withColumn("split", F.when(first, names[0]).when(second, names[1]).otherwise(names[2]))
 
 
 def assign_batches(

@@ -152,6 +152,19 @@ def split_fractions(spark, sf_dir):
     return position.split_fractions(t.line_pairs(spark, sf_dir), PLACE).select("id", "split")
 
 
+@query
+def split_file_order(spark, sf_dir):
+    """Rows split by their place in the files, those of train before those of dev."""
+    df = t.labelled_pairs(spark, sf_dir)
+    dev = u01(SEED, "dev", F.col("id")) < 0.06
+    paths = []
+    for name, rows in (("train", df.where(~dev)), ("dev", df.where(dev))):
+        paths.append(f"{scratch_path(spark, name)}.parquet")
+        rows.orderBy(F.desc("id")).write.parquet(paths[-1])
+    placed = position.with_position(io.in_file_order(spark, paths, PAIR), io.FILE_ORDER)
+    return position.split_positions(placed).select("id", "pos", "split")
+
+
 @query
 def assign_batches(spark, sf_dir):
     placed = position.with_position(t.line_pairs(spark, sf_dir).select("id", *PLACE), PLACE)

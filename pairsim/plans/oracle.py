@@ -99,8 +99,8 @@ part("gram_sets", f"SELECT *, {grams('a', 2)} AS a2, {grams('b', 2)} AS b2, {gra
 part("scored", f"SELECT id, doc_id, line_no, source, lang, round_even(5 * ({jaccard('wa', 'wb')}), 1) AS label, 5 * ({jaccard('a3', 'b3')}) AS prediction FROM gram_sets")
 part("three", f"SELECT id, unnest(['char2', 'char3', 'length']) AS model, unnest([5 * ({jaccard('a2', 'b2')}), 5 * ({jaccard('a3', 'b3')}), 5 * ({ratio('a', 'b')})]) AS prediction FROM gram_sets")
 part("line_words", f"SELECT unnest({word_list('text')}) AS word FROM lines")
-part("stems", "SELECT *, row_number() OVER (PARTITION BY substr(word, 1, 3) ORDER BY n DESC, word) AS r, substr(word, 1, 3) AS stem FROM (SELECT word, count(*) AS n FROM line_words GROUP BY word)")
-part("synonyms", "SELECT a.word, list(b.word ORDER BY b.r) AS synonyms FROM stems a JOIN stems b ON a.stem = b.stem AND a.word <> b.word WHERE a.r <= 6 AND b.r <= 6 GROUP BY a.word")
+part("blocks", f"SELECT *, (r - 1) // 6 AS block FROM (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS r FROM (SELECT word, count(*) AS n FROM line_words GROUP BY word) WHERE {u(str(SEED), chr(39)+'entry'+chr(39), 'word')} < 0.5)")
+part("synonyms", "SELECT a.word, list(b.word ORDER BY b.r) AS synonyms FROM blocks a JOIN blocks b ON a.block = b.block AND a.word <> b.word GROUP BY a.word")
 part("back_texts", f"SELECT DISTINCT text, array_to_string(list_reverse(string_split(text, ' ')), ' ') AS back_text FROM lines WHERE {u(str(SEED), chr(39)+'back'+chr(39), 'text')} >= 0.1")
 part("history", "SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch, value FROM events")
 part("backed", "SELECT p.*, x.back_text AS back_1, y.back_text AS back_2 FROM line_pairs p LEFT JOIN back_texts x ON p.sentence_1 = x.text LEFT JOIN back_texts y ON p.sentence_2 = y.text")
@@ -219,7 +219,7 @@ def mixed_parts(tag: str, variants: int, num_aug: int, raw: str) -> str:
 
 
 part("line_ws", f"SELECT id AS k, text, {word_list('text')} AS ws FROM lines")
-SYN = "doc_lines lines line_words stems synonyms line_ws"
+SYN = "doc_lines lines line_words blocks synonyms line_ws"
 PAIRS = "doc_lines line_pairs"
 LABELLED = f"{PAIRS} drawn labelled"
 SCORED = f"{PAIRS} cleaned cleaned_sets gram_sets scored"
@@ -234,7 +234,7 @@ SQL["pair_quality"] = with_parts(SCORED, f"SELECT lang, {metric_columns('p', 'la
 SQL["read_pairs"] = with_parts(LABELLED, "SELECT * FROM labelled")
 SQL["read_unlabelled"] = with_parts("turn_pairs", "SELECT * FROM turn_pairs")
 SQL["write_indexed"] = with_parts(LABELLED, 'SELECT row_number() OVER (ORDER BY id) - 1 AS "index", * FROM labelled')
-SQL["synonym_table"] = with_parts("doc_lines lines line_words stems synonyms", "SELECT word, synonyms FROM synonyms")
+SQL["synonym_table"] = with_parts("doc_lines lines line_words blocks synonyms", "SELECT word, synonyms FROM synonyms")
 SQL["metric_log"] = with_parts("history", "SELECT run_id::VARCHAR AS run_id, epoch // 10 AS epoch, round(avg(value), 6) AS train_loss, count(*) AS steps FROM history GROUP BY ALL")
 
 _sep = "{0} || '[SEP]' || {1}"
@@ -252,6 +252,11 @@ SQL["label_partition"] = with_parts(
 PLACED = f"{PAIRS} placed"
 SQL["row_position"] = with_parts(PLACED, "SELECT id, pos FROM placed")
 SQL["split_fractions"] = with_parts(f"{PLACED} place_split", "SELECT id, split FROM place_split")
+_file_order = f"SELECT id, row_number() OVER (ORDER BY dev, id DESC) - 1 AS pos, count(*) OVER () AS total FROM (SELECT id, {u(S, q('dev'), 'id')} < 0.06 AS dev FROM labelled)"
+SQL["split_file_order"] = with_parts(
+    LABELLED,
+    f"SELECT id, pos, CASE WHEN pos < trunc(total * 0.7::DOUBLE) THEN 'train' WHEN pos < trunc(total * 0.85::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM ({_file_order})",
+)
 SQL["assign_batches"] = with_parts(PLACED, "SELECT id, pos, pos // 16 AS batch_id FROM placed WHERE pos < total - total % 16")
 
 SQL["union_pairs"] = with_parts(
@@ -315,7 +320,7 @@ _names = edit_parts("line_ws", "nine", 3)
 _mix = mixed_parts("nine", 3, 9, "line_ws")
 SQL["eda_sentence"] = with_parts(f"{SYN} {_names} {_mix}", "SELECT k AS id, aug::INT AS aug, out AS augmented FROM nine_mixed", True)
 
-_pairs_syn = "doc_lines lines line_words stems synonyms line_pairs drawn labelled"
+_pairs_syn = "doc_lines lines line_words blocks synonyms line_pairs drawn labelled"
 
 
 def pair_edit_parts(source: str, key: str, tag: str) -> str:

@@ -9,15 +9,17 @@ from pairsim.functions import similarity as sim
 from pairsim.functions.seeded import let, u01
 from pairsim.functions.text import clean
 from pairsim.operators.position import with_position
-from pairsim.operators.synonyms import neighbour_synonyms
 from pairsim.operators.vocab import word_counts
 from pairsim.schema import BINARY_LABEL, LABEL, VALUE_COLUMNS
+from pairsim.sources.scratch import durable
 
 # Seed and label rules of the derived tables.
 SEED = 777
 ZERO_SHARE = 0.55
 POSITIVE_FROM = 3.0
 TRANSLATED_FROM = 0.1
+ENTRY_SHARE = 0.5
+BLOCK = 6
 
 
 # Row keys of the test tables.
@@ -109,8 +111,21 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_drawn_label(line_pairs(spark, sf_dir)).select(*[f"`{c}`" for c in VALUE_COLUMNS])
 
 
+def block_synonyms(counts: DataFrame) -> DataFrame:
+    """A dictionary from ``(word, n)``: half of the words, by hash, have an entry. In
+    order of (n descending, word) each ``BLOCK`` of them are one another's synonyms."""
+    known = durable(counts.where(u01(SEED, "entry", F.col("word")) < ENTRY_SHARE))
+    placed = with_position(known.withColumn("minus", -F.col("n")), ["minus", "word"])
+    blocks = placed.groupBy(F.floor(F.col("pos") / BLOCK).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("g")
+    )
+    each = blocks.select("g", F.explode("g.word").alias("word"))
+    others = F.filter(F.transform("g", lambda x: x.word), lambda w: w != F.col("word"))
+    return each.select("word", others.alias("synonyms")).where(F.size("synonyms") > 0)
+
+
 def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbour_synonyms(word_counts(lines(spark, sf_dir), ["text"]))
+    return block_synonyms(word_counts(lines(spark, sf_dir), ["text"]))
 
 
 def back_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,25 @@ def test_hot_key_is_salted_and_results_equal(spark):
     left = left.unionByName(spark.createDataFrame([(-1, None)], "id long, k string"))
     table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 500, 2)], "k string, v int")
     a = lookup.lookup(left, table, "k", ["id"], broadcast=True)
-    b = lookup.lookup(left, table, "k", ["id"], broadcast=False, hot_share=0.05, salts=8)
+    b = lookup.lookup(left, table, "k", ["id"], broadcast=False, task_rows=100)
     assert "_salt" in b._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(a.collect(), key=repr) == sorted(b.collect(), key=repr)
 
 
+def test_warm_keys_are_spread_over_even_tasks(spark):
+    # A key with 30 % of the rows beside twenty of some size.
+    key = F.when(F.col("id") % 10 < 3, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 20))
+    left = spark.range(40_000).withColumn("k", key)
+    table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(20)], "k string, v int")
+    out = lookup.lookup(left, table, "k", ["id"], broadcast=False, task_rows=500)
+    assert out.count() == 40_000 and out.where("v is null").isEmpty()
+    spread = out.select(F.col("k"), F.pmod(F.xxhash64("id"), F.lit(24)).alias("salt"))
+    salted = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in salted
+    per_task = spread.where("k = 'hot'").groupBy("salt").count().agg(F.max("count")).first()[0]
+    assert per_task < 2 * 500
+
+
 def test_bound_is_measured(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("word"))
     assert lookup.fits_broadcast(df)

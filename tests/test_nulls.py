@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairsim.functions.seeded import hash_above
-from pairsim.operators import features, metrics, model, submission, vocab
+from pairsim.operators import eda, features, metrics, model, submission, synonyms, vocab
 
 PAIRS = "id string, sentence_1 string, sentence_2 string"
 
@@ -38,6 +38,34 @@ def test_repeated_predictions_are_refused(spark):
     assert submission.build_submission(template, twice.limit(1)).count() == 2
 
 
+def test_repeated_keys_are_refused(spark):
+    twice = spark.createDataFrame([("1", "a b", "b"), ("1", "a b", "c")], PAIRS)
+    table = spark.createDataFrame([("a", ["b"])], "word string, synonyms array<string>")
+    runs = [
+        lambda df: vocab.encode_pad(df, vocab.build_vocab(df), ["id"], 8),
+        lambda df: features.tfidf_cosine(df, ["id"]),
+        lambda df: eda.edit_sentences(df, "replace", ["id"], "sentence_1", 7, table),
+        lambda df: eda.eda_pairs(df, table, ["id"], 7),
+    ]
+    for run in runs:
+        with pytest.raises(Exception, match="rows share a key"):
+            run(twice).collect()
+        assert run(twice.limit(1)).count() >= 1
+
+
+def test_long_chains_end_with_the_insertions(spark, monkeypatch):
+    links = [(f"w{i}", [f"w{i + 1}"]) for i in range(300)]
+    table = spark.createDataFrame(links, "word string, synonyms array<string>")
+    df = spark.createDataFrame([("1", " ".join(f"w{i}" for i in range(45)))], "id string, text string")
+    rounds, stored = [], synonyms.durable
+    monkeypatch.setattr(synonyms, "durable", lambda df: rounds.append(1) or stored(df))
+    got = eda.edit_sentences(df, "insert", ["id"], "text", 7, table, variants=3).collect()
+    assert len(rounds) == 3 and len(got) == 3
+    whole = synonyms.first_synonym_chains(table, 12)
+    monkeypatch.setattr(eda, "first_synonym_chains", lambda table, depth: whole)
+    assert eda.edit_sentences(df, "insert", ["id"], "text", 7, table, variants=3).collect() == got
+
+
 def test_no_weight_decay_for_l1():
     with pytest.raises(ValueError):
         model.regressor("L1", 0.1)

@@ -13,7 +13,7 @@ def ordered(df, *cols):
 
 @pytest.mark.parametrize("n", [0, 1, 7, 20, 90, 9874])
 def test_split_sizes(spark, n):
-    split = position.split_fractions(spark.range(n), ["id"], buckets=7)
+    split = position.split_fractions(spark.range(n), ["id"], partitions=7)
     got = dict(split.groupBy("split").agg(F.count("*"), F.min("id"), F.max("id")).rdd.map(lambda r: (r[0], r[1:])).collect()) if n else {}
     cuts = [0, int(n * 0.7), int(n * 0.85), n]
     for name, a, b in zip(("train", "validation", "test"), cuts, cuts[1:]):
@@ -32,23 +32,27 @@ def test_position_is_exact(spark, partitions, buckets):
     rows = [(0 if i % 3 else i, f"k{i:05d}") for i in range(2000)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "g int, k string").repartition(partitions)
-    got = ordered(position.with_position(df, ["g", "k"], buckets=buckets), "pos", "g", "k")
+    got = ordered(position.with_position(df, ["g", "k"], partitions=buckets), "pos", "g", "k")
     assert got == [(i, *r) for i, r in enumerate(sorted(rows))]
 
 
 def test_position_in_groups_with_nulls(spark):
     rows = [(None if i % 5 == 0 else i % 2, i * 37 % 1009) for i in range(1000)]
     df = spark.createDataFrame(rows, "g int, k int")
-    got = position.with_position(df, ["k"], by=["g"], buckets=20).collect()
+    got = position.with_position(df, ["k"], by=["g"], partitions=20).collect()
     for g in (None, 0, 1):
         mine = sorted((r.pos, r.k) for r in got if r.g == g)
         assert mine == list(enumerate(sorted(k for gg, k in rows if gg == g)))
 
 
-def test_bucket_sizes_stay_even(spark):
-    df = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(20000)], "g int, k int")
-    counts = df.groupBy(position.range_bucket(df, ["g", "k"], 20).alias("b")).count().collect()
-    assert len(counts) == 20 and max(c["count"] for c in counts) < 3 * 20000 / 20
+def test_group_over_many_partitions(spark):
+    # Half of the rows are one group; runs of all sizes begin and end inside partitions.
+    rows = [(0 if i % 2 else i % 97, i * 7919 % 20011) for i in range(20000)]
+    df = spark.createDataFrame(rows, "g int, k int")
+    got = position.with_position(df, ["k"], by=["g"], partitions=20).groupBy("g").agg(
+        F.count("*").alias("n"), F.min("pos"), F.max("pos"), F.countDistinct("pos")
+    )
+    assert all(tuple(r)[2:] == (0, r.n - 1, r.n) for r in got.collect())
 
 
 def test_shuffle_is_a_permutation_and_epochs_differ(spark):

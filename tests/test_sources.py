@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairsim.functions.text import clean
+from pairsim.operators import position
 from pairsim.schema import PAIR, UNLABELLED
 from pairsim.sources import pairs as io
 from pairsim.sources import scratch, tables
@@ -29,6 +30,34 @@ def test_hand_written_csv(spark, tmp_path):
     assert tuple(io.null_text_count(raw).first()) == (2, 1)
 
 
+def test_rows_without_a_sentence(spark, tmp_path):
+    df = spark.createDataFrame([*ROWS, ("4", "s", None, "x", 1.0, 0.0)], PAIR)
+    path = str(tmp_path / "n.parquet")
+    df.write.parquet(path)
+    assert io.read_pairs(spark, path).count() == 3
+    assert io.read_pairs(spark, path, null_text="keep").count() == 4
+    assert [r.id for r in io.rejected(io.read_pairs(spark, path, null_text="keep")).collect()] == ["4"]
+    with pytest.raises(Exception, match="no sentence"):
+        io.read_pairs(spark, path, null_text="raise").collect()
+
+
+@pytest.mark.parametrize("ending", [".parquet", ""])
+def test_file_order(spark, tmp_path, ending):
+    paths = []
+    for name, ids in (("train", range(9324)), ("dev", range(9324, 9874))):
+        paths.append(str(tmp_path / f"{name}{ending}"))
+        rows = spark.createDataFrame([(str(-i), "s", "a\nb", "c", 1.0, 0.0) for i in ids], PAIR).coalesce(1)
+        # Several files of falling size order.
+        out = rows.write.option("maxRecordsPerFile", 4000)
+        out.parquet(paths[-1]) if ending else out.options(**io.WRITE_OPTIONS).csv(paths[-1])
+    placed = position.with_position(io.in_file_order(spark, paths, PAIR), io.FILE_ORDER)
+    split = position.split_positions(placed).select("id", "pos", "split").collect()
+    assert all(r.pos == -int(r.id) for r in split) and len(split) == 9874
+    sizes = [sum(r.split == name for r in split) for name in position.SPLITS]
+    assert sizes == [6911, 1481, 1482]
+    assert all(r.split == "test" for r in split if r.pos >= 9324)
+
+
 def test_parquet_and_many_paths(spark, tmp_path):
     df = spark.createDataFrame(ROWS, PAIR)
     for n in ("a.parquet", "b.parquet"):
