@@ -2,7 +2,7 @@
 
 A rule names a host (with all its subdomains) and a path prefix; the longest
 fitting rule decides. Where none fits, the template of the url does: per host and
-level, segments too rare to be a branch of their own become the wildcard ``*``;
+level, segments of fewer than ``MIN_PAGES`` pages become the wildcard ``*``;
 branches whose labelled share is statistically like their siblings' are merged
 into the wildcard too; a branch that differs stays literal. ``DEPTH`` levels have
 templates, anything below them is ``**``. A template is blocked when its smoothed
@@ -31,8 +31,9 @@ from pairsim.sources.scratch import durable
 
 ALLOW, BLOCK = "allow", "block"
 DEPTH = 4
-#: A literal branch has at least so many pages and this share of its node's.
-MIN_PAGES, MIN_SHARE = 5, 0.01
+#: A literal branch has at least so many pages, however many its node has: no share of
+#: them is asked for.
+MIN_PAGES, MIN_SHARE = 5, 0.0
 #: Standard deviations from the siblings' share beyond which a branch is not merged.
 APART = 1.96
 #: Labels' worth of weight that a prior share has.
@@ -78,12 +79,7 @@ def _branches(level: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum("bad").alias("bad")
     )
     counts = counts.withColumn("bad", F.coalesce("bad", F.lit(0)))
-    totals = level.groupBy(*node).agg(F.count("*").alias("total"))
-    large = (
-        counts.where(F.col("n") >= MIN_PAGES)
-        .join(totals, node)
-        .where(F.col("n") >= F.col("total") * MIN_SHARE)
-    )
+    large = counts.where(F.col("n") >= MIN_PAGES)
     pooled = large.groupBy(*node).agg(
         (F.sum("bad") / F.nullif(F.sum("labelled"), F.lit(0))).alias("share")
     )
