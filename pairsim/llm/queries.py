@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsim.llm import bpe, chat, langid, linededup, mixing, neardup, simhash, sketch, tokencount, urlfilter
+from pairsim.llm import (
+    bpe,
+    chat,
+    kmeans,
+    langid,
+    linededup,
+    mixing,
+    neardup,
+    simhash,
+    sketch,
+    tokencount,
+    urlfilter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -123,3 +135,12 @@ def op4_linededup(spark, sf_dir):
 def op6_fingerprints(spark, sf_dir):
     """Fingerprint of every document and its likeness to an edited text and a neighbour."""
     return sketch.sketch_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_centroids(spark, sf_dir):
+    """Cluster, distance and inertia of every vector after three rounds over 16 centroids."""
+    return kmeans.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_centroids"] = kmeans.CLUSTER_SQL
