@@ -12,6 +12,7 @@ from pairsim.llm import (
     chat,
     kmeans,
     langid,
+    licences,
     linededup,
     mixing,
     neardup,
@@ -144,3 +145,9 @@ def op12_centroids(spark, sf_dir):
 
 
 SQL["op12_centroids"] = kmeans.CLUSTER_SQL
+
+
+@query
+def op11_licences(spark, sf_dir):
+    """Licence phrases, labels and stated expressions of every document."""
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
