@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairsim.llm import (
     bpe,
     chat,
+    collocations,
     kmeans,
     langid,
     licences,
@@ -151,3 +152,12 @@ SQL["op12_centroids"] = kmeans.CLUSTER_SQL
 def op11_licences(spark, sf_dir):
     """Licence phrases, labels and stated expressions of every document."""
     return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    """The first 2000 phrases of each language by their score."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_collocations"] = collocations.COLLOCATION_SQL
