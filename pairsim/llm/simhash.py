@@ -84,13 +84,18 @@ def _fingerprint_batches(batches):
         fps = [fingerprint(x) for part in slices for x in part.to_pylist()]
         found = np.array(fps, dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(found)], names=["doc_id", "fp"]
+            [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(found)],
+            names=["doc_id", "text_hash", "fp"],
         )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` per row of ``docs``; ``fp`` holds the 64 bits as a long."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """``(doc_id, text_hash, fp)`` per row of ``docs``; ``fp`` holds the 64 bits as a long.
+
+    ``text_hash`` is ``xxhash64(text)``, which tells apart rows that share an id.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp long")
 
 
 def _offset(i: int) -> int:
@@ -187,7 +192,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per row of ``docs(doc_id, text)``.
+    """``(doc_id, text_hash, fp, component_id)`` per row of ``docs(doc_id, text)``.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links. Exact
     copies share a fingerprint and enter the search once, however many they are.
@@ -204,4 +209,4 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     named = groups.join(linked, "fp", "left").select(
         "fp", F.coalesce("component_id", "first").alias("component_id")
     )
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
