@@ -29,13 +29,13 @@ VOCABULARY = "word_bpe_49k.json"
 SCAN_PARTS = 256
 #: Words kept with their ids in one generation of a Python worker's cache; there are
 #: two, so the memory of a worker stays bounded.
-CACHED_WORDS = 80_000
+CACHED_WORDS = 100_000
 #: Rows that are held in Python at a time.
 _ROWS = 200
-#: Longer runs without white space are encoded each time.
+#: Longer words are encoded each time.
 CACHED_CHARS = 64
-#: Split as white space by ``str.split``, but not white space to the vocabulary.
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: Characters of a text whose words are held at a time, up to the next space.
+_PIECE = 1 << 20
 #: White space as the Unicode property has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _NONE = 1 << 40
@@ -67,11 +67,14 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
-        self.pair_rank: dict[tuple[int, int], tuple[int, int]] = {}
+        # A pair is one number, left * size + right; its rank leads to what it merges into.
+        self.size = max(self.vocab.values(), default=0) + 1
+        self.pair_rank: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            merged = self.vocab[left + right]
-            self.pair_rank.setdefault((self.vocab[left], self.vocab[right]), (rank, merged))
+            self.merged.append(self.vocab[left + right])
+            self.pair_rank.setdefault(self.vocab[left] * self.size + self.vocab[right], rank)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
         self.strings = [strings.get(i, "") for i in range(max(strings, default=-1) + 1)]
@@ -84,45 +87,45 @@ class WordBpe:
         )
         longest = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
-        self.cache = _Cache(self._run_ids, CACHED_WORDS)
+        self.cache = _Cache(self.encode_word, CACHED_WORDS)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        pairs = self.pair_rank
-        ranks = [pairs.get(p, (_NONE,))[0] for p in zip(parts, parts[1:], strict=False)]
+        rank_of, size, merged = self.pair_rank.get, self.size, self.merged
+        ranks = [rank_of(a * size + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
             least = min(ranks)
             if least == _NONE:
                 break
             i = ranks.index(least)
-            parts[i] = pairs[parts[i], parts[i + 1]][1]
+            part = parts[i] = merged[least]
             del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = pairs.get((parts[i], parts[i + 1]), (_NONE,))[0]
+                ranks[i] = rank_of(part * size + parts[i + 1], _NONE)
             if i:
-                ranks[i - 1] = pairs.get((parts[i - 1], parts[i]), (_NONE,))[0]
+                ranks[i - 1] = rank_of(parts[i - 1] * size + part, _NONE)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
-        pairs, n = self.pair_rank, len(parts)
+        rank_of, size, n = self.pair_rank.get, self.size, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         alive = [True] * n
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (found := pairs.get((parts[i], parts[j]))):
-                heapq.heappush(heap, (found[0], i, parts[i], parts[j]))
+            if j < n and (rank := rank_of(parts[i] * size + parts[j])) is not None:
+                heapq.heappush(heap, (rank, i, parts[i], parts[j]))
 
         for i in range(n):
             offer(i)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             if not alive[i] or parts[i] != left:
                 continue
             j = after[i]
             if j >= n or parts[j] != right:
                 continue
-            parts[i], alive[j] = pairs[left, right][1], False
+            parts[i], alive[j] = self.merged[rank], False
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -144,13 +147,16 @@ class WordBpe:
             # Lower-casing goes letter by letter, so no sigma becomes a final one.
             text = text.replace("Σ", "σ")
         text = text.lower()
-        # No word spans white space, so whole runs between white space are cached.
-        runs = self.words.findall(text) if _SEPARATORS.search(text) else text.split()
-        return list(chain.from_iterable(map(self.cache.__getitem__, runs)))
-
-    def _run_ids(self, run: str) -> tuple[int, ...]:
-        words = self.words.findall(run)
-        return tuple(chain.from_iterable(map(self.encode_word, words)))
+        ids: list[int] = []
+        start = 0
+        while start < len(text):
+            # No word spans a space.
+            end = len(text) if len(text) - start <= _PIECE else text.find(" ", start + _PIECE)
+            end = len(text) if end < 0 else end
+            piece = text if not start and end == len(text) else text[start:end]
+            ids.extend(chain.from_iterable(map(self.cache.__getitem__, self.words.findall(piece))))
+            start = end
+        return ids
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

@@ -46,6 +46,12 @@ def test_full_cache_gives_same_ids(monkeypatch):
     assert small.encode(text) == OURS.encode(text) and len(small.cache) <= 3
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(bpe, "_PIECE", 7)
+    for text in ("the quick brown fox it's " * 9, "x" * 50, "a\n" * 30 + " b", "  ", "don't  stop\t12 34 "):
+        same(text)
+
+
 def test_query_matches_library(spark):
     texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     rows = REGISTRY["op9_bpe"](spark, SF).collect()
