@@ -30,11 +30,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/pairsim/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     The result has no lineage, survives lost executors and prunes columns.
+    ``compression`` names another codec than the session's, for long texts.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
