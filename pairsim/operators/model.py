@@ -7,45 +7,54 @@ from datetime import datetime
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsim.functions.seeded import draw_index
 from pairsim.operators.metrics import evaluate
+from pairsim.operators.moments import LinearFit, fit_robust, moments, read_moments
 from pairsim.schema import METRICS
 
 
+#: Losses that are fitted by reweighted least squares.
+ROBUST = ("L1", "Huber")
+
+
 def regressor(loss: str, weight_decay: float = 0.0, **params):
     """Spark ML estimator for a loss name.
 
     MSE and plcc share the least-squares fit, which has the largest squared
-    correlation among linear scores. Huber estimates its own scale.
+    correlation among linear scores.
     """
     common = {"featuresCol": "features", "labelCol": "label", "predictionCol": "prediction"}
-    if loss == "L1":
-        if weight_decay:
-            raise ValueError("the L1 fit is a tree ensemble and has no weight decay")
-        return GBTRegressor(lossType="absolute", seed=17, **common, **{"maxIter": 10, **params})
-    kind = {"MSE": "squaredError", "plcc": "squaredError", "Huber": "huber"}[loss]
-    return LinearRegression(loss=kind, regParam=weight_decay, **common, **params)
+    if loss not in ("MSE", "plcc"):
+        raise ValueError(f"{loss} has no estimator of Spark ML: use fit_similarity")
+    return LinearRegression(regParam=weight_decay, **common, **params)
 
 
 def similarity_pipeline(
-    features: Sequence[str], loss: str = "L1", weight_decay: float = 0.0, **params
+    features: Sequence[str], loss: str = "MSE", weight_decay: float = 0.0, **params
 ) -> Pipeline:
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     return Pipeline(stages=[assembler, regressor(loss, weight_decay, **params)])
 
 
+def linear_model(fit: LinearFit) -> PipelineModel:
+    """A fit as a pipeline that adds ``prediction``; it saves and loads as any other."""
+    return PipelineModel([SQLTransformer(statement=f"SELECT *, {fit.sql()} AS prediction FROM __THIS__")])
+
+
 def fit_similarity(
     train: DataFrame, features: Sequence[str], loss: str = "L1", weight_decay: float = 0.0, **params
 ) -> PipelineModel:
-    return similarity_pipeline(features, loss, weight_decay, **params).fit(
-        train.select(*features, F.col("label").cast("double"))
-    )
+    """Fit one of the four losses; L1 and Huber take ``rounds``, the others Spark ML's settings."""
+    rows = train.select(*features, F.col("label").cast("double"))
+    if loss in ROBUST:
+        return linear_model(fit_robust(rows, features, loss, weight_decay, **params)[0])
+    return similarity_pipeline(features, loss, weight_decay, **params).fit(rows)
 
 
 def score_pairs(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -137,3 +146,28 @@ def tune_similarity(
     for other in logs[1:]:
         log = log.unionByName(other)
     return log.select(*METRICS.names), models
+
+
+def tune_ridge(
+    train: DataFrame,
+    validation: DataFrame,
+    features: Sequence[str],
+    decays: Sequence[float],
+    trials: int = 10,
+    seed: int = 777,
+    label: str = "label",
+) -> tuple[DataFrame, list[LinearFit]]:
+    """Random search over weight decays, from the moments of both splits.
+
+    Each split is scanned once, however many trials there are; equal draws are the same fit.
+    Returns the metric log ``(run_id, epoch, metric, value)`` and the fits.
+    """
+    spark, columns = train.sparkSession, [*features, label]
+    draws = spark.range(trials).select("id", draw_index(F.lit(len(decays)), seed, "trial", F.col("id")).alias("i"))
+    fitted, held_out = (read_moments(moments(df, columns), columns) for df in (train, validation))
+    fits = [fitted.solve(decays[r.i]) for r in draws.orderBy("id").collect()]
+    rows = []
+    for t, fit in enumerate(fits):
+        loss, r = held_out.evaluate(fit)
+        rows += [(f"trial-{t:03d}", 0, "val_loss", loss), (f"trial-{t:03d}", 0, "val_pearson", r)]
+    return spark.createDataFrame(rows, METRICS), fits

@@ -18,6 +18,7 @@ from pairsim.operators import (
     history,
     metrics,
     model,
+    moments,
     pairs,
     position,
     sampling,
@@ -474,18 +475,44 @@ def _train(df):
     return df.where("split = 'train'")
 
 
+#: Rounds of reweighting in the query; its SQL spells them out.
+FIT_ROUNDS, FIT_DECAY = 8, 0.001
+
+
 @query
 def fit_similarity(spark, sf_dir):
     """All four losses fitted on train and evaluated on validation."""
-    df = _featured(spark, sf_dir)
+    df = durable(_featured(spark, sf_dir))
     out = None
     for name in losses.LOSSES:
-        fitted = model.fit_similarity(_train(df), FIT_FEATURES, name)
+        settings = {"weight_decay": FIT_DECAY, "rounds": FIT_ROUNDS} if name in model.ROBUST else {}
+        fitted = model.fit_similarity(_train(df), FIT_FEATURES, name, **settings)
         rows = model.evaluate_model(fitted, df.where("split = 'validation'")).withColumn("fit", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return rounded(out, "pearson", "loss_l1", "loss_mse", "loss_huber", "loss_plcc", digits=4)
 
 
+@query
+def fit_log(spark, sf_dir):
+    """Mean train loss before each round of both robust fits, as a metric log read back."""
+    df = _train(durable(_featured(spark, sf_dir)))
+    path = scratch_path(spark, "fit-log")
+    for name in model.ROBUST:
+        _, values = moments.fit_robust(df, FIT_FEATURES, name, FIT_DECAY, FIT_ROUNDS)
+        rows = [(name, i, "train_loss", v) for i, v in enumerate(values)]
+        io_tables.append_metrics(spark.createDataFrame(rows, METRICS), path)
+    return rounded(io_tables.read_metrics(spark, path).select(*METRICS.names), "value", digits=5)
+
+
+@query
+def split_moments(spark, sf_dir):
+    """Moments of each split, merged from those of each split and source document's last digit."""
+    df = _featured(spark, sf_dir).withColumn("part", F.col("doc_id") % 10)
+    columns = [*FIT_FEATURES, "label"]
+    merged = moments.merge_moments(moments.moments(df, columns, ["split", "part"]), ["split"])
+    return rounded(merged, *[c for c in merged.columns if c.startswith("s") and c != "split"], digits=4)
+
+
 @query
 def score_pairs(spark, sf_dir):
     """Least-squares scores for every pair, from a saved and reloaded model."""
@@ -519,17 +546,16 @@ def evaluate(spark, sf_dir):
     return rounded(out, "pearson", "loss_l1", "loss_mse", "loss_huber", "loss_plcc")
 
 
+#: Weight decays of the search.
+DECAYS = (0.0, 0.001, 0.01, 0.1, 1.0)
+
+
 @query
 def tune_similarity(spark, sf_dir):
-    """Metric log of a seeded random search and the chosen trial."""
-    df = _featured(spark, sf_dir)
-    log, _ = model.tune_similarity(
-        _train(df).select(*FIT_FEATURES, "label"),
-        df.where("split = 'validation'"),
-        FIT_FEATURES,
-        {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]},
-        trials=4,
-        seed=SEED,
+    """Metric log of a seeded random search over weight decays, and the chosen trial."""
+    df = durable(_featured(spark, sf_dir))
+    log, _ = model.tune_ridge(
+        _train(df), df.where("split = 'validation'"), FIT_FEATURES, DECAYS, trials=6, seed=SEED
     )
     path = scratch_path(spark, "trials")
     io_tables.append_metrics(log, path)
@@ -537,7 +563,17 @@ def tune_similarity(spark, sf_dir):
     best = history.best_trial(stored.where("metric = 'val_loss'")).select(
         F.col("run_id"), F.lit(0).cast("long").alias("epoch"), F.lit("best_val_loss").alias("metric"), "value"
     )
-    return rounded(stored.unionByName(best).select(*METRICS.names), "value", digits=4)
+    return rounded(stored.unionByName(best).select(*METRICS.names), "value", digits=5)
+
+
+@query
+def ensemble_fitted(spark, sf_dir):
+    """Two models blended with the weights of least squared error on the train split."""
+    df = durable(_featured(spark, sf_dir))
+    df = df.select("id", "split", "label", *[(5 * F.col(c)).alias(c) for c in FIT_FEATURES])
+    weights = moments.fit_blend(_train(df), FIT_FEATURES)
+    preds = df.select("id", F.expr(f"stack({len(FIT_FEATURES)}, " + ", ".join(f"'{c}', {c}" for c in FIT_FEATURES) + ") as (model, prediction)"))
+    return rounded(submission.ensemble_weighted(preds, weights), "prediction", digits=5)
 
 
 # ---- flows ----------------------------------------------------------------

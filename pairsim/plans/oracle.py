@@ -75,12 +75,12 @@ def huber(p: str, y: str) -> str:
     return f"avg(CASE WHEN {e} <= 1 THEN 0.5 * {e} * {e} ELSE {e} - 0.5 END)"
 
 
-def metric_columns(p: str, y: str) -> str:
+def metric_columns(p: str, y: str, digits: int = 6) -> str:
     r = pearson(p, y)
     return (
-        f"count(*) AS n, round({r}, 6) AS pearson, round(avg(abs({p} - {y})), 6) AS loss_l1, "
-        f"round(avg(({p} - {y}) * ({p} - {y})), 6) AS loss_mse, round({huber(p, y)}, 6) AS loss_huber, "
-        f"round(1 - ({r}) * ({r}), 6) AS loss_plcc"
+        f"count(*) AS n, round({r}, {digits}) AS pearson, round(avg(abs({p} - {y})), {digits}) AS loss_l1, "
+        f"round(avg(({p} - {y}) * ({p} - {y})), {digits}) AS loss_mse, round({huber(p, y)}, {digits}) AS loss_huber, "
+        f"round(1 - ({r}) * ({r}), {digits}) AS loss_plcc"
     )
 
 
@@ -431,6 +431,76 @@ part("fitted", "SELECT id, split, label, my + wf * (f - mf) + wg * (g - mg) AS p
 FIT = f"{SCORED} placed place_split feats moments ols fitted"
 SQL["score_pairs"] = with_parts(FIT, "SELECT id, round(prediction, 6) AS prediction FROM fitted")
 SQL["evaluate"] = with_parts(FIT, f"SELECT split, {metric_columns('prediction', 'label')} FROM fitted GROUP BY split")
+# Reweighted least squares on two features: one part per round, solved in closed form.
+ROBUST_WEIGHTS = {
+    "L1": "1 / greatest(abs(r), 0.001::DOUBLE)",
+    "Huber": "CASE WHEN abs(r) <= 1 THEN 1.0::DOUBLE ELSE 1 / abs(r) END",
+}
+ROBUST_LOSSES = {"L1": "avg(abs(r))", "Huber": "avg(CASE WHEN abs(r) <= 1 THEN 0.5 * r * r ELSE abs(r) - 0.5 END)"}
+FIT_ROUNDS, FIT_DECAY = 8, 0.001
+
+
+def solved(weight: str, source: str, penalty: str, value: str = "NULL") -> str:
+    """Weighted least squares of the label on f and g, as (wf, wg, c, loss)."""
+    return (
+        f"SELECT wf, wg, my - wf * mf - wg * mg AS c, loss FROM (SELECT *, "
+        f"(fy * (gg + {penalty}) - gy * fg) / ((ff + {penalty}) * (gg + {penalty}) - fg * fg) AS wf, "
+        f"(gy * (ff + {penalty}) - fy * fg) / ((ff + {penalty}) * (gg + {penalty}) - fg * fg) AS wg FROM ("
+        f"SELECT loss, sf / s AS mf, sg / s AS mg, sy / s AS my, (sff - sf * sf / s) / n AS ff, (sgg - sg * sg / s) / n AS gg, "
+        f"(sfg - sf * sg / s) / n AS fg, (sfy - sf * sy / s) / n AS fy, (sgy - sg * sy / s) / n AS gy FROM ("
+        f"SELECT count(*) AS n, {value} AS loss, sum(w) AS s, sum(w * f) AS sf, sum(w * g) AS sg, sum(w * label) AS sy, "
+        f"sum(w * f * f) AS sff, sum(w * g * g) AS sgg, sum(w * f * g) AS sfg, sum(w * f * label) AS sfy, sum(w * g * label) AS sgy "
+        f"FROM (SELECT *, {weight} AS w FROM ({source})))))"
+    )
+
+
+_train_rows = "SELECT f, g, label FROM feats WHERE split = 'train'"
+for _name, _weight in ROBUST_WEIGHTS.items():
+    part(f"{_name.lower()}_0", solved("1.0::DOUBLE", _train_rows, str(FIT_DECAY)))
+    for _i in range(FIT_ROUNDS):
+        _rows = f"SELECT f, g, label, label - (c + wf * f + wg * g) AS r FROM feats CROSS JOIN {_name.lower()}_{_i} WHERE split = 'train'"
+        part(f"{_name.lower()}_{_i + 1}", solved(_weight, _rows, str(2 * FIT_DECAY), ROBUST_LOSSES[_name]))
+ROUNDS = {n: " ".join(f"{n.lower()}_{i}" for i in range(FIT_ROUNDS + 1)) for n in ROBUST_WEIGHTS}
+_robust = {n: f"SELECT label, c + wf * f + wg * g AS prediction FROM feats CROSS JOIN {n.lower()}_{FIT_ROUNDS} WHERE split = 'validation'" for n in ROBUST_WEIGHTS}
+_least = "SELECT label, prediction FROM fitted WHERE split = 'validation'"
+_fits = {"L1": _robust["L1"], "MSE": _least, "Huber": _robust["Huber"], "plcc": _least}
+SQL["fit_similarity"] = with_parts(
+    f"{FIT} {ROUNDS['L1']} {ROUNDS['Huber']}",
+    " UNION ALL ".join(
+        f"SELECT 'validation' AS split, {metric_columns('prediction', 'label', 4)}, '{n}' AS fit FROM ({rows})" for n, rows in _fits.items()
+    ),
+)
+SQL["fit_log"] = with_parts(
+    f"{FIT} {ROUNDS['L1']} {ROUNDS['Huber']}",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS run_id, {i}::BIGINT AS epoch, 'train_loss' AS metric, round(loss, 5) AS value FROM {n.lower()}_{i + 1}"
+        for n in ROBUST_WEIGHTS
+        for i in range(FIT_ROUNDS)
+    ),
+)
+_names = ["1", "f", "g", "label"]
+SQL["split_moments"] = with_parts(
+    f"{SCORED} placed place_split feats",
+    "SELECT split, count(*) AS n, "
+    + ", ".join(f"round(sum({_names[i]}::DOUBLE * {_names[j]}), 4) AS s{i}_{j}" for i in range(4) for j in range(i, 4))
+    + " FROM feats GROUP BY split",
+)
+DECAYS = (0.0, 0.001, 0.01, 0.1, 1.0)
+part("trials", f"SELECT id, [{', '.join(f'{d}::DOUBLE' for d in DECAYS)}][{idx(str(len(DECAYS)), S, q('trial'), 'id')} + 1] AS d FROM range(6) t(id)")
+part("ridges", "SELECT id, (fy * (gg + d) - gy * fg) / ((ff + d) * (gg + d) - fg * fg) AS wf, (gy * (ff + d) - fy * fg) / ((ff + d) * (gg + d) - fg * fg) AS wg, mf, mg, my FROM moments CROSS JOIN trials")
+part("trial_rows", "SELECT r.id, label, my + wf * (f - mf) + wg * (g - mg) AS p FROM feats CROSS JOIN ridges r WHERE split = 'validation'")
+part("trial_log", f"SELECT format('trial-{{:03d}}', id) AS run_id, avg((label - p) * (label - p)) AS loss, {pearson('p', 'label')} AS r FROM trial_rows GROUP BY id")
+SQL["tune_similarity"] = with_parts(
+    f"{SCORED} placed place_split feats moments trials ridges trial_rows trial_log",
+    "SELECT run_id, 0::BIGINT AS epoch, 'val_loss' AS metric, round(loss, 5) AS value FROM trial_log UNION ALL "
+    "SELECT run_id, 0, 'val_pearson', round(r, 5) FROM trial_log UNION ALL "
+    "SELECT * FROM (SELECT run_id, 0, 'best_val_loss', round(loss, 5) FROM trial_log ORDER BY loss, run_id LIMIT 1)",
+)
+part("blend", "SELECT least(1.0, greatest(0.0, sum((f - g) * (label / 5 - g)) / sum((f - g) * (f - g)))) AS w FROM feats WHERE split = 'train'")
+SQL["ensemble_fitted"] = with_parts(
+    f"{SCORED} placed place_split feats blend",
+    "SELECT id, round(5 * (w * f + (1 - w) * g), 5) AS prediction FROM feats CROSS JOIN blend",
+)
 SQL["score_with_function"] = with_parts(PAIRS, f"SELECT id, round(5 * {ratio('sentence_1', 'sentence_2')}, 6) AS prediction FROM line_pairs")
 
 SQL["training_table"] = with_parts(
