@@ -1,18 +1,21 @@
 """Document fingerprints that keep every shingle hash below a fixed fraction.
 
-A fingerprint is the sorted array of those hashes of five-word shingles that lie in
-the lowest 1 / ``FRACTION`` of all 64-bit values, so documents of very unequal length
-are compared on the same part of the hash space, and fingerprints merge by union.
-Texts of at most ``WHOLE`` shingles keep all their hashes; two such are compared on
-all of them, any other pair on the common fraction.
+A sketch is the sorted array of those hashes of five-word shingles that lie in
+the lowest 1 / ``FRACTION`` of all 64-bit values, whatever the text's length; so documents of
+very unequal length are compared on the same part of the hash space, and sketches merge by
+union. A fingerprint is the sketch as text: 16 lowercase hex digits a hash.
 
 Likeness is estimated containment: shared hashes over those of the smaller
-fingerprint (1 where one text holds the other, 0 without a shared shingle).
+sketch (1 where one text holds the other, 0 without a shared shingle). Its error falls with the
+number of shingles of the smaller text; the README has figures.
 
 Everything is DataFrame functions. Defined results: null texts count as empty; a text
-of fewer than five words has one shingle, all of it; one without words has an empty
-fingerprint, which is like another empty one (1.0) and nothing else (0.0); where a
-short text has no hash in the common fraction, likeness to a long one is 0.0.
+of fewer than five words has one shingle, all of it; likeness of equal texts is 1.0, also
+of two without words; where only one of two texts has a hash in the fraction, or neither has and
+they differ, it is 0.0; equal texts have equal fingerprints; a text whose hashes all lie
+above the fraction has an empty one, as a text without words; rows that repeat or share an id are
+fingerprinted each; rows without an id have no next document; an empty table gives no rows; other columns
+are ignored; a text of any length is one row.
 """
 
 from __future__ import annotations
@@ -24,11 +27,9 @@ from pairsim.functions.seeded import let
 from pairsim.sources.scratch import durable
 
 SHINGLE = 5
-FRACTION = 8
-WHOLE = 64
+FRACTION = 4
 #: Hashes are signed longs; the lowest fraction of them lies below this.
 BELOW = -(1 << 63) + (1 << 64) // FRACTION
-_NO_ID = -(1 << 63)
 
 
 def _shingle_hashes(words: Column) -> Column:
@@ -43,42 +44,36 @@ def _shingle_hashes(words: Column) -> Column:
     return let(words, hashes)
 
 
-def fingerprint(text: Column) -> Column:
-    """Sorted shingle hashes of a text; case and the kind of white space don't count."""
+def _words(text: Column) -> Column:
     spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     ")
-    words = F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(spaced, " "), "")
 
-    def kept(h: Column) -> Column:
-        low = F.filter(h, lambda x: x < F.lit(BELOW))
-        return F.sort_array(F.array_distinct(F.when(F.size(h) <= WHOLE, h).otherwise(low)))
 
-    return let(_shingle_hashes(words), kept)
+def sketch(text: Column) -> Column:
+    """Sorted shingle hashes of a text below the fraction; case and the kind of white space don't count."""
+    low = F.filter(_shingle_hashes(_words(text)), lambda x: x < F.lit(BELOW))
+    return F.sort_array(F.array_distinct(low))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """Fingerprint of two texts taken together, on the common fraction."""
-    return F.sort_array(F.array_union(*[F.filter(x, lambda v: v < F.lit(BELOW)) for x in (a, b)]))
+def fingerprint(hashes: Column) -> Column:
+    """A sketch as text."""
+    return F.array_join(F.transform(hashes, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated containment of the smaller text in the other."""
+def merged(a: Column, b: Column) -> Column:
+    """Sketch of two texts taken together."""
+    return F.sort_array(F.array_union(a, b))
 
-    def whole(x: Column) -> Column:
-        # Only a fingerprint that keeps all has a hash beyond the fraction; sorted last.
-        return F.coalesce(F.element_at(x, -1) >= F.lit(BELOW), F.lit(False))
 
-    def share(x: Column, y: Column) -> Column:
-        least = F.least(F.size(x), F.size(y))
-        both = F.size(F.array_intersect(x, y))
-        return F.when(least > 0, both / least).otherwise(0.0)
+def likeness(a: Column, b: Column, equal: Column | None = None) -> Column:
+    """Estimated containment of the smaller sketch in the other; ``equal`` texts are alike."""
+    least = F.least(F.size(a), F.size(b))
+    share = F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
+    return share if equal is None else F.when(equal, 1.0).otherwise(share)
 
-    def low(x: Column) -> Column:
-        return F.filter(x, lambda v: v < F.lit(BELOW))
 
-    empty = (F.size(a) == 0) & (F.size(b) == 0)
-    some = (F.size(a) > 0) & (F.size(b) > 0)
-    compared = F.when(whole(a) & whole(b), share(a, b)).otherwise(share(low(a), low(b)))
-    return F.when(empty | (a == b), 1.0).when(some, compared).otherwise(0.0)
+def _blank(text: Column) -> Column:
+    return F.size(_words(text)) == 0
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -109,55 +104,58 @@ def sketch_edits(docs: DataFrame) -> DataFrame:
     all) of the next document in descending ``doc_id``. Where rows share an id, its
     smallest text is the next document for others; rows of null id have no next one.
     """
-    # Both joins below deal the rows by this key, which is never null, so the texts
-    # are shuffled once for both.
-    key = F.coalesce("doc_id", F.lit(_NO_ID))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    ids = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.max(F.length("text")).alias("n")
-    )
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    named, nameless = rows.where(F.col("doc_id").isNotNull()), rows.where(F.col("doc_id").isNull())
+    ids = named.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
     order = next_ids(ids)
-    same_key = Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    single = rows.withColumn("before", F.lag("key").over(same_key)).where(F.col("before").isNull())
+    # The joins deal the rows by this key, so the texts are shuffled once for both.
+    same_key = Window.partitionBy("doc_id").orderBy("text")
+    single = named.withColumn("before", F.lag("doc_id").over(same_key)).where(F.col("before").isNull())
     half = F.floor(F.col("n") / 2).cast("int")
     found = (
         order.withColumnRenamed("doc_id", "id")
-        .join(single, F.col("next_id") == F.col("key"))
+        .join(single, F.col("next_id") == F.col("doc_id"))
         .select(
             "id",
             F.substring("text", F.lit(1), half).alias("start"),
-            fingerprint(F.col("text")).alias("next_fingerprint"),
+            F.struct(
+                F.xxhash64("text").alias("hash"), _blank(F.col("text")).alias("blank"), sketch(F.col("text")).alias("sketch")
+            ).alias("next"),
         )
     )
+    joined = named.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "start", "next")
+    # Rows without an id meet no other, so no task gathers them.
+    alone = nameless.select("doc_id", "text", F.lit(None).cast("string").alias("start"))
+    joined = joined.unionByName(alone, allowMissingColumns=True)
     n = F.length("text")
     own_half = F.floor(n / 2).cast("int")
-    start = F.when(F.col("doc_id").isNotNull(), F.coalesce("start", F.lit(""))).otherwise("")
+    start = F.coalesce("start", F.lit(""))
     edited = F.concat(
         F.substring("text", F.lit(1), n - own_half), F.substring(start, F.lit(1), own_half)
     )
+    marked = joined.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next")
     none = F.array().cast("array<long>")
-    neighbour = F.when(F.col("doc_id").isNotNull(), F.coalesce("next_fingerprint", none))
-    joined = rows.join(found, F.col("key") == F.col("id"), "left")
-    marked = joined.select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        edited.alias("edited"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-        neighbour.otherwise(none).alias("next_fingerprint"),
-    )
-    return marked.select(
+    text, edited = F.col("text"), F.col("edited")
+    blank = _blank(text)
+    sketched = marked.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        "next_fingerprint",
-    ).select(
+        sketch(text).alias("own"),
+        sketch(edited).alias("changed"),
+        F.coalesce("next.sketch", none).alias("following"),
+        ((text == edited) | (blank & _blank(edited))).alias("same_edited"),
+        F.coalesce(
+            (F.xxhash64("text") == F.col("next.hash")) | (blank & F.col("next.blank")), F.lit(False)
+        ).alias("same_next"),
+    )
+    own, changed, following = F.col("own"), F.col("changed"), F.col("following")
+    return sketched.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        fingerprint(own).alias("fingerprint"),
+        fingerprint(changed).alias("edited_fingerprint"),
+        likeness(own, changed, F.col("same_edited")).alias("near_edited"),
+        likeness(own, following, F.col("same_next")).alias("near_next"),
     )
