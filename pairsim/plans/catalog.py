@@ -24,6 +24,7 @@ from pairsim.operators import (
     sampling,
     setops,
     submission,
+    subwords,
     vocab,
 )
 from pairsim.operators import synonyms as syn_ops
@@ -278,6 +279,26 @@ def encode_pad(spark, sf_dir):
     return vocab.encode_pad(df, durable(vocab.build_vocab(df)), ["id"])
 
 
+#: Merges that the queries learn; their SQL spells them out.
+MERGES = 30
+
+
+@query
+def learn_subwords(spark, sf_dir):
+    found = subwords.learn_from_pairs(t.line_pairs(spark, sf_dir), MERGES)
+    rows = [(i, *merge) for i, merge in enumerate(found)]
+    return spark.createDataFrame(rows, "step long, left string, right string, n long")
+
+
+@query
+def encode_subwords(spark, sf_dir):
+    """Pairs cut into learned sub-words, encoded with a vocabulary of those."""
+    df = t.line_pairs(spark, sf_dir)
+    merges = [(left, right) for left, right, _ in subwords.learn_from_pairs(df, MERGES)]
+    cut = durable(subwords.cut_pairs(df, merges))
+    return vocab.encode_pad(cut, durable(vocab.build_vocab(cut)), ["id"])
+
+
 # ---- augmentation ---------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pairsim.plans.tables import SEED
 
 PARTS: dict[str, str] = {}
@@ -305,6 +307,36 @@ SQL["encode_pad"] = with_parts(
     "SELECT id, [2] || ids || [3] || list_transform(range(318 - len(ids)), lambda x: 0) AS input_ids FROM body_ids",
 )
 
+# Sub-words: one part per merge, on words whose symbols stand between control characters.
+MERGES = 30
+part("subword_0", r"SELECT word, n, regexp_replace(word, '([^ ])', chr(2) || '\1' || chr(3), 'g') AS m FROM (SELECT word, count(*) AS n FROM (SELECT unnest(w1 || w2) AS word FROM pair_words) GROUP BY word)")
+_symbols = "string_split(m[2:length(m) - 1], chr(3) || chr(2))"
+for _i in range(MERGES):
+    part(
+        f"merge_{_i}",
+        f"SELECT s[j] AS l, s[j + 1] AS r, sum(n)::BIGINT AS c FROM (SELECT n, s, unnest(range(1, len(s))) AS j FROM (SELECT n, {_symbols} AS s FROM subword_{_i})) GROUP BY l, r ORDER BY c DESC, l, r LIMIT 1",
+    )
+    part(
+        f"subword_{_i + 1}",
+        f"SELECT word, n, replace(m, chr(2) || l || chr(3) || chr(2) || r || chr(3), chr(2) || l || r || chr(3)) AS m FROM subword_{_i} CROSS JOIN merge_{_i}",
+    )
+SUBWORDS = "subword_0 " + " ".join(f"merge_{i} subword_{i + 1}" for i in range(MERGES))
+SQL["learn_subwords"] = with_parts(
+    f"{PAIRS} pair_words {SUBWORDS}",
+    " UNION ALL ".join(f'SELECT {i}::BIGINT AS step, l AS "left", r AS "right", c AS n FROM merge_{i}' for i in range(MERGES)),
+)
+part(
+    "cut_words",
+    f"SELECT id, k, list(x ORDER BY p, j) AS w FROM (SELECT id, k, p, unnest(s) AS x, generate_subscripts(s, 1) AS j FROM (SELECT id, k, p, {_symbols} AS s FROM (SELECT id, 1 AS k, unnest(w1) AS word, generate_subscripts(w1, 1) AS p FROM pair_words UNION ALL SELECT id, 2, unnest(w2), generate_subscripts(w2, 1) FROM pair_words) JOIN subword_{MERGES} USING (word))) GROUP BY id, k",
+)
+part("cut_pairs", "SELECT p.id, coalesce(a.w, []) AS w1, coalesce(b.w, []) AS w2 FROM pair_words p LEFT JOIN cut_words a ON a.id = p.id AND a.k = 1 LEFT JOIN cut_words b ON b.id = p.id AND b.k = 2")
+for _new, _old in (("cut_vocab", "vocab"), ("cut_body", "body"), ("cut_ids", "body_ids")):
+    part(_new, re.sub(r"\bbody\b", "cut_body", re.sub(r"\bvocab\b", "cut_vocab", PARTS[_old].replace("pair_words", "cut_pairs"))))
+SQL["encode_subwords"] = with_parts(
+    f"{PAIRS} pair_words {SUBWORDS} cut_words cut_pairs cut_vocab cut_body cut_ids",
+    "SELECT id, [2] || ids || [3] || list_transform(range(318 - len(ids)), lambda x: 0) AS input_ids FROM cut_ids",
+)
+
 SQL["balance_labels"] = with_parts(f"{LABELLED} swapped {balance_names('all')}", "SELECT * FROM all_balanced")
 SQL["synonym_lookup"] = with_parts(
     SYN,
