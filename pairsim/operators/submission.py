@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsim.functions.postprocess import finish_prediction
+from pairsim.operators.position import with_position
+from pairsim.sources.scratch import durable
 
 
 def ensemble_weighted(predictions: DataFrame, weights: Mapping[str, float]) -> DataFrame:
@@ -37,6 +39,22 @@ def build_submission(template: DataFrame, predictions: DataFrame) -> DataFrame:
     return template.select("id").join(p, "id", "left")
 
 
+def attach_by_position(
+    template: DataFrame, predictions: DataFrame, template_order: Sequence[str], prediction_order: Sequence[str]
+) -> DataFrame:
+    """``(id, target)``: the k-th prediction for the k-th template row, rounded and clipped.
+
+    Either table is numbered by its own order, which has to identify its rows (``FILE_ORDER`` for the order of files).
+    Tables of different length are refused.
+    """
+    first = durable(with_position(template, template_order, name="_pos").select("id", "_pos"))
+    second = durable(with_position(predictions, prediction_order, name="_pos").select("prediction", "_pos"))
+    n, m = first.count(), second.count()
+    if n != m:
+        raise ValueError(f"{n} rows in the template, {m} predictions")
+    return first.join(second, "_pos").select("id", finish_prediction(F.col("prediction")).alias("target"))
+
+
 def missing_predictions(submission: DataFrame) -> DataFrame:
     return submission.agg(
         F.count("*").alias("template_rows"),

@@ -451,6 +451,24 @@ def submission_(spark, sf_dir):
     return io.read_template(spark, out_path)
 
 
+@query
+def attach_by_position(spark, sf_dir):
+    """Predictions without ids, attached by place to a template that is stored in another order."""
+    placed = position.with_position(t.scored_pairs(spark, sf_dir), PLACE)
+    template, preds = scratch_path(spark, "template"), scratch_path(spark, "predictions")
+    placed.select("id", *PLACE).repartition(5, "id").write.parquet(template)
+    placed.select("pos", "prediction").repartition(3, "prediction").write.parquet(preds)
+    return submission.attach_by_position(spark.read.parquet(template), spark.read.parquet(preds), PLACE, ["pos"])
+
+
+@query
+def missing_predictions(spark, sf_dir):
+    """Template rows without a prediction, where a tenth has none."""
+    df = t.scored_pairs(spark, sf_dir)
+    preds = df.where(u01(SEED, "scored", F.col("id")) >= 0.1).select("id", "prediction")
+    return submission.missing_predictions(submission.build_submission(df.select("id"), preds))
+
+
 @query
 def ensemble_weighted(spark, sf_dir):
     preds = t.three_models(t.line_pairs(spark, sf_dir))

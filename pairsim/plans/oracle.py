@@ -463,6 +463,11 @@ part("fitted", "SELECT id, split, label, my + wf * (f - mf) + wg * (g - mg) AS p
 FIT = f"{SCORED} placed place_split feats moments ols fitted"
 SQL["score_pairs"] = with_parts(FIT, "SELECT id, round(prediction, 6) AS prediction FROM fitted")
 SQL["evaluate"] = with_parts(FIT, f"SELECT split, {metric_columns('prediction', 'label')} FROM fitted GROUP BY split")
+SQL["attach_by_position"] = with_parts(SCORED, f"SELECT id, {finish('prediction')} AS target FROM scored")
+SQL["missing_predictions"] = with_parts(
+    SCORED, f"SELECT count(*) AS template_rows, count(*) FILTER ({u(S, q('scored'), 'id')} < 0.1) AS missing FROM scored"
+)
+
 # Reweighted least squares on two features: one part per round, solved in closed form.
 ROBUST_WEIGHTS = {
     "L1": "1 / greatest(abs(r), 0.001::DOUBLE)",
