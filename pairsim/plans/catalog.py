@@ -14,6 +14,7 @@ from pairsim.operators import (
     backtranslate,
     balance,
     eda,
+    epochs,
     features,
     history,
     metrics,
@@ -229,6 +230,19 @@ def epoch_batches(spark, sf_dir):
     return runs[0].unionByName(runs[1])
 
 
+@query
+def epoch_places(spark, sf_dir):
+    """Two epochs over positions stored once."""
+    placed = durable(position.with_position(t.line_pairs(spark, sf_dir).select("id", *PLACE), PLACE))
+    n = placed.count()
+    each = [
+        epochs.epoch_places(placed, n, SEED, e, BATCH, drop_last=True)
+        .select("id", "place", "batch_id", F.lit(e).alias("epoch"))
+        for e in (1, 2)
+    ]
+    return each[0].unionByName(each[1])
+
+
 @query
 def seeded_draws(spark, sf_dir):
     return t.lines(spark, sf_dir).select(

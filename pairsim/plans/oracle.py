@@ -285,6 +285,27 @@ SQL["epoch_batches"] = with_parts(
         for e in (1, 2)
     ),
 )
+# Places of an epoch: rounds as columns that follow one another, moved until below n.
+def _moved() -> str:
+    cells = ["x // b AS row_0", "x % b AS col_0"]
+    for i in range(4):
+        draw = lambda size, side, other: idx(size, S, "epoch", q("place"), str(i), q(side), other)  # noqa: B023, E731
+        cells.append(f"(row_{i} + {draw('a', 'row', f'col_{i}')}) % a AS row_{i + 1}")
+        cells.append(f"(col_{i} + {draw('b', 'column', f'row_{i + 1}')}) % b AS col_{i + 1}")
+    return f"{', '.join(cells)}, row_4 * b + col_4 AS moved"
+
+
+part("sized", "SELECT id, pos, total AS n, ceil(sqrt(total))::BIGINT AS a, ceil(total / ceil(sqrt(total)))::BIGINT AS b FROM placed")
+part(
+    "walk",
+    "SELECT id, epoch, n, a, b, pos AS x, 0 AS step FROM sized CROSS JOIN (SELECT unnest([1, 2]) AS epoch) UNION ALL "
+    f"SELECT id, epoch, n, a, b, moved, step + 1 FROM (SELECT *, {_moved()} FROM walk WHERE step = 0 OR x >= n)",
+)
+SQL["epoch_places"] = with_parts(
+    f"{PLACED} sized walk",
+    "SELECT id, x AS place, x // 16 AS batch_id, epoch FROM walk WHERE step > 0 AND x < n - n % 16",
+    recursive=True,
+)
 SQL["seeded_draws"] = with_parts(
     "doc_lines lines",
     f"SELECT id, {h(S, 'id', q('h'))} AS h, {u(S, 'id', q('u'))} AS u, {idx('10', S, 'id', q('i'))} AS i FROM lines",
