@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -637,6 +639,41 @@ def training_table(spark, sf_dir):
     return flows.training_table(t.labelled_pairs(spark, sf_dir), SEED)
 
 
+@query
+def encoded_epochs(spark, sf_dir):
+    table = flows.training_table(t.labelled_pairs(spark, sf_dir), SEED)
+    return flows.encoded_epochs(table, SEED, [1, 2], BATCH)
+
+
+def _reverser():
+    """A stand-in translator: words in reverse order; a tenth of the texts fails."""
+
+    def translate(text: str) -> str:
+        draw = hashlib.md5(f"{SEED}|back|{text}".encode()).hexdigest()
+        if int(draw[:8], 16) / 4294967296 < t.TRANSLATED_FROM:
+            raise ValueError("no translation")
+        return " ".join(reversed(text.split(" ")))
+
+    return translate
+
+
+@query
+def back_translated_table(spark, sf_dir):
+    """All three outputs as they are read again."""
+    paths = flows.back_translated_table(
+        t.labelled_pairs(spark, sf_dir),
+        _reverser,
+        scratch_path(spark, "memo"),
+        "first",
+        scratch_path(spark, "back-translated"),
+    )
+    read = [
+        io.read_indexed(spark, path, PAIR).select("index", *VALUES, F.lit(name).alias("split"))
+        for name, path in paths.items()
+    ]
+    return reduce(DataFrame.unionByName, read)
+
+
 @query
 def augmented_training_table(spark, sf_dir):
     table = _synonyms(spark, sf_dir)

@@ -295,16 +295,21 @@ def _moved() -> str:
     return f"{', '.join(cells)}, row_4 * b + col_4 AS moved"
 
 
-part("sized", "SELECT id, pos, total AS n, ceil(sqrt(total))::BIGINT AS a, ceil(total / ceil(sqrt(total)))::BIGINT AS b FROM placed")
-part(
-    "walk",
-    "SELECT id, epoch, n, a, b, pos AS x, 0 AS step FROM sized CROSS JOIN (SELECT unnest([1, 2]) AS epoch) UNION ALL "
-    f"SELECT id, epoch, n, a, b, moved, step + 1 FROM (SELECT *, {_moved()} FROM walk WHERE step = 0 OR x >= n)",
-)
+def walk_parts(prefix: str, placed: str) -> str:
+    """Places ``x`` of both epochs for the positions of ``placed(pos, total)``."""
+    part(f"{prefix}_sized", f"SELECT pos, total AS n, ceil(sqrt(total))::BIGINT AS a, ceil(total / ceil(sqrt(total)))::BIGINT AS b FROM {placed}")
+    part(
+        f"{prefix}_walk",
+        f"SELECT pos, epoch, n, a, b, pos AS x, 0 AS step FROM {prefix}_sized CROSS JOIN (SELECT unnest([1, 2]) AS epoch) UNION ALL "
+        f"SELECT pos, epoch, n, a, b, moved, step + 1 FROM (SELECT *, {_moved()} FROM {prefix}_walk WHERE step = 0 OR x >= n)",
+    )
+    part(f"{prefix}_places", f"SELECT pos, x AS place, x // 16 AS batch_id, epoch FROM {prefix}_walk WHERE step > 0 AND x < n - n % 16")
+    return f"{prefix}_sized {prefix}_walk {prefix}_places"
+
+
+_walk = walk_parts("line", "placed")
 SQL["epoch_places"] = with_parts(
-    f"{PLACED} sized walk",
-    "SELECT id, x AS place, x // 16 AS batch_id, epoch FROM walk WHERE step > 0 AND x < n - n % 16",
-    recursive=True,
+    f"{PLACED} {_walk}", "SELECT id, place, batch_id, epoch FROM line_places JOIN placed USING (pos)", recursive=True
 )
 SQL["seeded_draws"] = with_parts(
     "doc_lines lines",
@@ -565,6 +570,34 @@ SQL["training_table"] = with_parts(
     f"{LABELLED} id_split clean_split train_swapped {balance_names('train')}",
     "SELECT *, 'train' AS split FROM train_balanced UNION ALL SELECT id, source, sentence_1, sentence_2, label, \"binary-label\", 'orig', 'other', split FROM clean_split WHERE split <> 'train'",
 )
+part("flow_words", f"SELECT id, variant, role, label, {word_list('sentence_1')} AS w1, {word_list('sentence_2')} AS w2 FROM train_balanced")
+part("flow_vocab", "SELECT word, (row_number() OVER (ORDER BY n DESC, word) + 3)::INT AS word_id FROM (SELECT word, count(*) AS n FROM (SELECT unnest(w1 || w2) AS word FROM flow_words) GROUP BY word)")
+part("flow_placed", "SELECT *, row_number() OVER (ORDER BY id, variant, role) - 1 AS pos, count(*) OVER () AS total FROM flow_words")
+part("flow_items", "SELECT pos, (list_transform(w1, lambda w: 'w' || w) || ['[SEP]'] || list_transform(w2, lambda w: 'w' || w))[1:318] AS items FROM flow_placed")
+part("flow_ids", "SELECT pos, list(CASE WHEN item = '[SEP]' THEN 3 ELSE coalesce(word_id, 1) END ORDER BY p) AS ids FROM (SELECT pos, unnest(items) AS item, generate_subscripts(items, 1) AS p FROM flow_items) LEFT JOIN flow_vocab ON item = 'w' || word GROUP BY pos")
+_walk = walk_parts("flow", "flow_placed")
+SQL["encoded_epochs"] = with_parts(
+    f"{LABELLED} id_split clean_split train_swapped {balance_names('train')} flow_words flow_vocab flow_placed flow_items flow_ids {_walk}",
+    "SELECT id, variant, role, label, [2] || ids || [3] || list_transform(range(318 - len(ids)), lambda x: 0) AS input_ids, place, batch_id, epoch "
+    "FROM flow_places JOIN flow_placed USING (pos) JOIN flow_ids USING (pos)",
+    recursive=True,
+)
+
+
+def _translated(c: str) -> str:
+    turned = f"array_to_string(list_reverse(string_split({c}, ' ')), ' ')"
+    return f"CASE WHEN {u(S, q('back'), c)} >= 0.1::DOUBLE THEN {turned} ELSE {c} END"
+
+
+part("turned", f"SELECT *, {_translated('sentence_1')} AS back_1, {_translated('sentence_2')} AS back_2 FROM id_split WHERE split = 'train'")
+_label = 'id, source, label, "binary-label"'
+part("turned_forms", " UNION ALL ".join(f"SELECT {_label}, {x} AS x, {y} AS y FROM turned" for x in ("sentence_1", "back_1") for y in ("sentence_2", "back_2")))
+part("turned_pairs", f"SELECT DISTINCT * FROM (SELECT * FROM turned_forms UNION ALL SELECT {_label}, y, x FROM turned_forms)")
+SQL["back_translated_table"] = with_parts(
+    f"{LABELLED} id_split turned turned_forms turned_pairs",
+    f'SELECT {_label}, x AS sentence_1, y AS sentence_2, row_number() OVER (ORDER BY id, x, y) - 1 AS "index", \'train\' AS split FROM turned_pairs '
+    f'UNION ALL SELECT {_label}, sentence_1, sentence_2, row_number() OVER (PARTITION BY split ORDER BY id) - 1, split FROM id_split WHERE split <> \'train\'',
+)
 part("raw_swapped", "SELECT id, source, sentence_1, sentence_2, label, \"binary-label\", 'orig' AS variant FROM id_split WHERE split = 'train' UNION ALL SELECT id, source, sentence_2, sentence_1, label, \"binary-label\", 'swap' FROM id_split WHERE split = 'train'")
 _t = pair_edit_parts("raw_swapped", "id, variant", "te")
 SQL["augmented_training_table"] = with_parts(

@@ -44,3 +44,11 @@ METRICS = T.StructType(
         T.StructField("value", T.DoubleType()),
     ]
 )
+
+MEMO = T.StructType(
+    [
+        T.StructField("text", T.StringType()),
+        T.StructField("back_text", T.StringType()),
+        T.StructField("run_id", T.StringType()),
+    ]
+)
