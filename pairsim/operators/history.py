@@ -7,7 +7,7 @@ window inside each block.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_EPOCHS = 65_536
@@ -39,6 +39,14 @@ def running_max(df: DataFrame, value: str, name: str, block: int = BLOCK_EPOCHS)
     )
 
 
+def finite_score() -> Column:
+    """(value, -epoch), so that the larger is the better and a tie the earlier; NULL
+    where the value is not finite."""
+    v = F.col("value")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return F.when(finite, F.struct(v.alias("v"), (-F.col("epoch")).alias("e")))
+
+
 def early_stop(
     history: DataFrame, patience: int = PATIENCE, block: int = BLOCK_EPOCHS
 ) -> DataFrame:
@@ -48,11 +56,7 @@ def early_stop(
     A tie is no improvement, so the last improvement is the earliest epoch that
     holds the best value so far: the running maximum of (value, -epoch).
     """
-    v = F.col("value")
-    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    scored = history.withColumn(
-        "_score", F.when(finite, F.struct(v.alias("v"), (-F.col("epoch")).alias("e")))
-    )
+    scored = history.withColumn("_score", finite_score())
     best = running_max(scored, "_score", "_best", block)
     stop = F.col("_score").isNull() | (F.col("epoch") + F.col("_best.e") >= patience)
     return best.groupBy("run_id").agg(

@@ -29,6 +29,7 @@ from pairsim.operators import (
     submission,
     subwords,
     vocab,
+    wordvectors,
 )
 from pairsim.operators import synonyms as syn_ops
 from pairsim.plans import flows
@@ -38,6 +39,7 @@ from pairsim.schema import METRICS, PAIR, ROW_KEY, VALUE_COLUMNS
 from pairsim.sources import pairs as io
 from pairsim.sources import tables as io_tables
 from pairsim.sources.scratch import durable, scratch_path
+from pairsim.streaming import history as streams
 from pairsim.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,6 +435,21 @@ def early_stop(spark, sf_dir):
     return history.early_stop(durable(t.metric_history(spark, sf_dir)))
 
 
+@query
+def stream_early_stop(spark, sf_dir):
+    """The same history in three parts; the stream starts again after each."""
+    rows = durable(t.metric_history(spark, sf_dir)).withColumn("run_id", F.col("run_id").cast("string"))
+    source, out, marks = (scratch_path(spark, n) for n in ("metrics-in", "stops", "stops-marks"))
+    third = F.floor(F.col("epoch") * 3 / (rows.agg(F.max("epoch")).first()[0] + 1))
+    for i in range(3):
+        rows.where(third == i).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(rows.schema).parquet(source)
+        streams.stream_early_stop(arriving, out, marks).awaitTermination()
+    return streams.read_state(spark, out).select(
+        F.col("run_id").cast("long").alias("run_id"), "stop_epoch", "epochs"
+    )
+
+
 @query
 def top_checkpoints(spark, sf_dir):
     return history.top_checkpoints(t.metric_history(spark, sf_dir))
@@ -509,6 +526,14 @@ def tfidf_cosine(spark, sf_dir):
     return rounded(features.tfidf_cosine(df, ["id"], frequencies=table), "tfidf_cosine")
 
 
+@query
+def sentence_cosine(spark, sf_dir):
+    """Line pairs by vectors learned from them."""
+    df = durable(t.line_pairs(spark, sf_dir).select("id", "sentence_1", "sentence_2"))
+    vectors = durable(wordvectors.word_vectors(df, SEED))
+    return rounded(wordvectors.sentence_cosine(df, vectors, ["id"]), "sentence_cosine")
+
+
 @query
 def embedding_cosine(spark, sf_dir):
     """Each vector with the one numbered next."""

@@ -443,6 +443,7 @@ SQL["early_stop"] = with_parts(
     "SELECT *, max(CASE WHEN up THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS last_up FROM ("
     "SELECT *, coalesce(value > max(value) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS up FROM history)) GROUP BY run_id",
 )
+SQL["stream_early_stop"] = SQL["early_stop"]
 SQL["top_checkpoints"] = with_parts(
     "history",
     "SELECT run_id, epoch, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, epoch) AS rank FROM history) WHERE rank <= 4",
