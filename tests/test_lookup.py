@@ -65,3 +65,26 @@ def test_user_translator_failures_fall_back(spark, pairs):
     table = backtranslate.translate_with(backtranslate.distinct_texts(pairs), make)
     out = {r.id: (r.sentence_1, r.sentence_2) for r in backtranslate.back_translate(pairs, table, ["id"]).collect()}
     assert out == {"1": ("A B", "C D"), "2": ("A B", "A B"), "3": ("Q", "zz")}
+
+
+def test_rows_of_one_key_are_not_shuffled_after_their_expansion(spark, pairs):
+    table = spark.createDataFrame([("a b", "b a"), ("c d", "d c"), ("q", "q")], "text string, back_text string")
+    out = backtranslate.back_translation(pairs, table, ["id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    # Rows that agree in all but the texts are still compared with each other.
+    twice = pairs.unionByName(pairs).unionByName(pairs.where("id = '1'").selectExpr(
+        "id", "source", "sentence_2 as sentence_1", "sentence_1 as sentence_2", "label", "`binary-label`"
+    ))
+    again = backtranslate.back_translation(twice, table, ["id"], stored=True)
+    assert sorted(out.collect(), key=repr) == sorted(again.collect(), key=repr)
+
+
+def test_texts_are_no_join_keys(spark, pairs):
+    table = spark.createDataFrame([("a b", "b a"), (None, "x")], "text string, back_text string")
+    nulls = pairs.unionByName(spark.createDataFrame([(None, None, None, "a b", None, None)], PAIR))
+    found = backtranslate.attach_back_texts(nulls, table, ["id"], broadcast=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter, (_digest_1" in plan
+    rows = {(r.id, r.sentence_1, r.back_1, r.back_2) for r in found.collect()}
+    assert rows == {("1", "a b", "b a", None), ("2", "a b", "b a", "b a"), ("3", "q", None, None), (None, None, None, "b a")}
