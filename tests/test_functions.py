@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pairsim.functions import losses, postprocess, similarity, text
 from pairsim.functions.seeded import hash_above, draw_hash, u01
+from pairsim.plans import tables
 
 
 def values(df, *cols):
@@ -92,3 +93,23 @@ def test_hash_above_equals_draw(spark):
     df = spark.range(2000)
     h = draw_hash(3, F.col("id"))
     assert df.where(hash_above(h, 0.1) != (u01(3, F.col("id")) > 0.1)).count() == 0
+
+
+def test_ngrams_of_any_start_and_plane(spark):
+    texts = ["", "a", "ab", "abc", "abcd", "\U0001f600b\U0001f601cd\ne", "aaaaaa"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    for n in (1, 2, 3):
+        for r in df.select("c", similarity.char_ngrams(F.col("c"), n).alias("g")).collect():
+            assert sorted(r.g) == sorted({r.c[i : i + n] for i in range(len(r.c) - n + 1)})
+
+
+def test_a_line_is_prepared_once(spark, tmp_path):
+    rows = [(1, "A b c\n\na b\na b c d", "en", "s"), (2, None, None, None), (3, "x", None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    scored = tables.scored_pairs(spark, str(tmp_path))
+    cleaned = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert cleaned.count("\\p{N}_") == 1
+    assert [(r.id, r.label) for r in scored.orderBy("id").collect()] == [("1-0", 3.3), ("1-1", 2.5)]
+    models = tables.three_models(spark, str(tmp_path)).where("model = 'length'").orderBy("id").collect()
+    assert [(r.id, round(r.prediction, 3)) for r in models] == [("1-0", 3.0), ("1-1", 2.143)]
