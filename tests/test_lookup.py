@@ -88,3 +88,19 @@ def test_texts_are_no_join_keys(spark, pairs):
     assert "Join LeftOuter, (_digest_1" in plan
     rows = {(r.id, r.sentence_1, r.back_1, r.back_2) for r in found.collect()}
     assert rows == {("1", "a b", "b a", None), ("2", "a b", "b a", "b a"), ("3", "q", None, None), (None, None, None, "b a")}
+
+
+def test_only_rare_keys_of_a_large_table_are_shuffled(spark, monkeypatch):
+    key = F.when(F.col("id") % 4 == 0, "often").when(F.col("id") % 4 == 1, "unknown")
+    left = spark.range(4000).withColumn("k", key.when(F.col("id") % 4 == 2, F.concat(F.lit("k"), F.col("id") % 900)))
+    table = spark.createDataFrame([("often", 1)] + [(f"k{i}", i) for i in range(600)], "k string, v int")
+    whole = lookup.lookup(left, table, "k", ["id"], broadcast=True)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 100)
+    seen = []
+    shuffled = lookup._shuffled
+    monkeypatch.setattr(lookup, "_shuffled", lambda rows, *a: seen.append(rows) or shuffled(rows, *a))
+    monkeypatch.setattr(lookup, "fits_broadcast", lambda df: False)
+    out = lookup.lookup(left, table, "k", ["id"])
+    assert sorted(out.collect(), key=repr) == sorted(whole.collect(), key=repr)
+    # Neither the frequent key nor the frequent one that the table lacks, nor NULL.
+    assert seen[0].count() == 1000 and seen[0].where("k in ('often', 'unknown') or k is null").isEmpty()
