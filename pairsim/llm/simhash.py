@@ -169,8 +169,9 @@ def links(distinct: DataFrame) -> DataFrame:
     else:
         cold = index
     diff = F.col("fp").bitwiseXOR(F.col("other"))
+    # Sorted and merged: Spark takes an exploded table for as small as the one it comes from, and would send it to all.
     pairs = (
-        cold.join(probe, "key")
+        cold.join(probe.hint("merge"), "key")
         .where(F.col("fp") > F.col("other"))
         .where(_chains_hold(F.shiftright("key", 26), diff))
         .where(F.bit_count(diff) <= MAX_BITS)
@@ -187,7 +188,7 @@ def links(distinct: DataFrame) -> DataFrame:
     )
     spread = dense.select("fp", F.explode(_neighbours(fp)).alias("x"))
     least = spread.groupBy("x").agg(F.min("fp").alias("b"), F.count("*").alias("n"))
-    stars = spread.join(least.where("n > 1"), "x").where(F.col("fp") > F.col("b"))
+    stars = spread.join(least.where("n > 1").hint("merge"), "x").where(F.col("fp") > F.col("b"))
     return pairs.unionAll(stars.select(F.col("fp").alias("a"), "b").distinct())
 
 

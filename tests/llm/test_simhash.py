@@ -111,3 +111,9 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(1, 1), (1, 1), (2, 2), (3, 2)]
     assert sorted([r.component_id for r in got if r.doc_id is None], key=str) == [1, None]
     assert simhash.simhash_groups(df.limit(0)).collect() == []
+
+
+def test_exploded_tables_are_not_sent_to_all(spark):
+    df = spark.range(40).selectExpr("id * 1234567890123 as fp")
+    plan = simhash.links(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
